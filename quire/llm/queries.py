@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, sstable, tokencount
+from quire.llm import bpe, decontaminate, fingerprint, quality, sstable, tokencount, urlrules
 from quire.llm.common import read, text_of
 
 
@@ -24,12 +24,49 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids, path).select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words that lie in a passage of ten words of a benchmark item."""
+    found = decontaminate.scan(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hits.runs", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
+    return found.select("doc_id", F.col("hits.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("hits.items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("hits.items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+#: The written rules.
+RULES = [
+    urlrules.Rule("block", "com", "/en/"),
+    urlrules.Rule("allow", "example.com", "/en/7"),
+    urlrules.Rule("allow", "net", "/de/"),
+    urlrules.Rule("block", "example.net", "/de/8"),
+    urlrules.Rule("block", "org", "/es/"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path and verdict: by the written rules, else by rules mined from the labels of its document."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    mined = urlrules.mine(pages.join(labels, "page_id"))
+    return urlrules.judge(pages, RULES, mined).select("page_id", "host", "path", "rule", "verdict", "mined_rule")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's posterior of being poor or toxic, with its source as host and its language as path, and whether it is kept."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model, "source", "lang").select("doc_id", "p_poor", "p_toxic", "keep")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes and tokens, and whether it is over 512 tokens."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return tokencount.token_counts(docs, tokenizer_file()).select("doc_id", F.octet_length(text_of("text")).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op6_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and their likeness."""
+    return fingerprint.compare_with_edits(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read from the shards that hold all ids."""
     rows = sstable.write_and_read(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file(), end_id=2)
@@ -38,7 +75,11 @@ def op10_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_url_filter": op3_url_filter,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_token_counts": op5_token_counts,
+    "op6_weighted_fingerprints": op6_weighted_fingerprints,
     "op10_sorted_string_tables": op10_sorted_string_tables,
 }
 
