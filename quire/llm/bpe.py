@@ -87,7 +87,7 @@ class Cache(dict):
 class Encoder:
     """One tokenizer file, for one Python process."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 200_000):
         import json
 
         from tokenizers import Tokenizer

@@ -1,9 +1,11 @@
 """Document fingerprints by consistent weighted sampling, with DataFrame operations alone.
 
-A document is a set of terms, its words between spaces, weighted by how often each occurs. For each of ``slots``
-independent samples, term x of weight w gets r, c ~ Gamma(2, 1) and b ~ U(0, 1) from a hash of term and slot; with
-t = floor(ln w / r + b), the term of least ln c - r (t - b) - r wins, and (x, t) is the sample. Two documents agree in
-a slot with a probability of their generalised Jaccard similarity, sum of min over sum of max of the weights.
+A document is a set of terms, its words between spaces, weighted by how often each occurs. In each of ``REPEATS``
+independent rounds, term x of weight w gets r, c ~ Gamma(2, 1) and b ~ U(0, 1) from a hash of term and round; with
+t = floor(ln w / r + b), the term of least ln c - r (t - b) - r wins, and (x, t) is the sample. Two sets of terms get the
+same sample with a probability of their generalised Jaccard similarity, sum of min over sum of max of the weights.
+A round deals the terms to ``BINS`` bins by their hash and takes a sample in each, as one-permutation hashing does, so a
+term is drawn for once a round and not once a slot; a bin that is empty on both sides says nothing.
 A slot keeps 16 bits of a hash of its sample.
 """
 
@@ -16,9 +18,10 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import text_of
 
-SLOTS = 64
+REPEATS, BINS = 4, 16
+SLOTS = REPEATS * BINS
 #: Steps in which r and ln c are drawn.
-_STEPS = 4096
+_STEPS = 1024
 _ID_BITS = 20
 
 
@@ -40,38 +43,40 @@ def _constant(values: list[float]) -> str:
     return "cast(split('" + ",".join(map(repr, values)) + "', ',') as array<double>)"
 
 
-def samples(term: str, ln_weight: str, slots: int = SLOTS) -> list[Column]:
-    """For each slot, what a group takes the least of: the rank of a term's sample above 20 bits of the sample's hash."""
-    q = _gamma_quantiles(_STEPS)
-    r_of, ln_c_of = _constant(q), _constant([math.log(x) for x in q])
-    out = []
-    for k in range(slots):
-        h = f"xxhash64({term}, {k})"
-        r = f"({r_of})[cast({h} & {_STEPS - 1} as int)]"
-        ln_c = f"({ln_c_of})[cast(shiftrightunsigned({h}, 12) & {_STEPS - 1} as int)]"
-        b = f"((shiftrightunsigned({h}, 24) & 1048575) * {2.0**-20!r}D)"
-        t = f"floor({ln_weight} / {r} + {b})"
-        rank = f"cast(({ln_c} - {r} * ({t} - {b}) - {r} + 1024D) * {2.0**32!r}D as bigint)"
-        ident = f"((shiftrightunsigned({h}, 44) + {t} * 40503) & {(1 << _ID_BITS) - 1})"
-        out.append(F.expr(f"shiftleft({rank}, {_ID_BITS}) | {ident}"))
-    return out
+def _sample(term: str, ln_weight: str, k: int, q: tuple[str, str]) -> str:
+    """What a bin takes the least of in round k: the rank of a term's sample above 20 bits of the sample's hash."""
+    h = f"xxhash64({term}, {k})"
+    r = f"({q[0]})[cast({h} & {_STEPS - 1} as int)]"
+    ln_c = f"({q[1]})[cast(shiftrightunsigned({h}, 10) & {_STEPS - 1} as int)]"
+    b = f"((shiftrightunsigned({h}, 20) & 1048575) * {2.0**-20!r}D)"
+    t = f"floor({ln_weight} / {r} + {b})"
+    rank = f"cast(({ln_c} - {r} * ({t} - {b}) - {r} + 1024D) * {2.0**32!r}D as bigint)"
+    ident = f"((shiftrightunsigned({h}, 40) + {t} * 40503) & {(1 << _ID_BITS) - 1})"
+    return f"shiftleft({rank}, {_ID_BITS}) | {ident}"
 
 
-def signature(term_rows: DataFrame, by: list[str], slots: int = SLOTS) -> DataFrame:
-    """(by, term, n) -> (by, slots array<int>): the signature of each group of weighted terms."""
-    weighted = term_rows.withColumn("ln_n", F.log("n"))
-    mins = weighted.groupBy(*by).agg(*[F.min(s).alias(f"s{k}") for k, s in enumerate(samples("term", "ln_n", slots))])
-    return mins.select(*by, F.array(*[(F.col(f"s{k}") % (1 << 16)).cast("int") for k in range(slots)]).alias("slots"))
+def signature(term_rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, term, n) -> (by, slots array<int>): the signature of each group of weighted terms; null where a bin is empty."""
+    q = _gamma_quantiles(_STEPS)
+    tables = _constant(q), _constant([math.log(x) for x in q])
+    rows = term_rows.select(*by, "term", F.log("n").alias("ln_n"))
+    rows = rows.select(*by, *[F.expr(_sample("term", "ln_n", k, tables)).alias(f"x{k}") for k in range(REPEATS)], *[F.expr(f"cast(pmod(xxhash64(term, {k + 1000}), {BINS}) as int)").alias(f"b{k}") for k in range(REPEATS)])
+    mins = [F.min(F.when(F.col(f"b{k}") == i, F.col(f"x{k}"))).alias(f"s{k}_{i}") for k in range(REPEATS) for i in range(BINS)]
+    slots = [(F.col(f"s{k}_{i}") % (1 << 16)).cast("int") for k in range(REPEATS) for i in range(BINS)]
+    return rows.groupBy(*by).agg(*mins).select(*by, F.array(*slots).alias("slots"))
 
 
 def text_form(slots: Column) -> Column:
-    """Four hexadecimal digits a slot."""
-    return F.lower(F.array_join(F.transform(slots, lambda x: F.lpad(F.hex(x), 4, "0")), ""))
+    """Four hexadecimal digits a slot, dots for an empty one."""
+    return F.lower(F.array_join(F.transform(slots, lambda x: F.coalesce(F.lpad(F.hex(x), 4, "0"), F.lit("...."))), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of slots in which two signatures agree."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x) / F.size(a)
+    """The share of slots in which two signatures agree, of those that aren't empty on both sides."""
+    pairs = F.zip_with(a, b, lambda x, y: F.when(x.isNull() & y.isNull(), 0).when(x.eqNullSafe(y), 1 << 20 | 1).otherwise(1))
+    both = F.aggregate(pairs, F.lit(0), lambda n, x: n + x)
+    seen = both % (1 << 20)
+    return F.when(seen > 0, F.floor(both / (1 << 20)) / seen).otherwise(1.0)
 
 
 def _search(value: Column, bounds: list[int]) -> Column:
@@ -109,7 +114,7 @@ def in_order(df: DataFrame, key: str = "doc_id", text: str = "text", per_partiti
     return seated.withColumn("place", F.row_number().over(w)).withColumn("next", F.lead("text").over(w)).select("bucket", "place", F.when(F.col("k") != low, F.col("k")).alias("key"), "text", "own", F.coalesce("next", F.lit("")).alias("next"))
 
 
-def compare_with_edits(df: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+def compare_with_edits(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text and of the text with its last quarter replaced by the beginning of the next one, and their likeness.
 
     Null texts are empty; a text without terms has the fingerprint of the empty term alone, so equal texts have equal
@@ -123,7 +128,7 @@ def compare_with_edits(df: DataFrame, key: str = "doc_id", text: str = "text", s
     variants = F.when(F.col("own"), F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))).otherwise(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t"))))
     words = base.select("bucket", "place", F.explode(variants).alias("x")).select("bucket", "place", F.col("x.v").alias("v"), F.explode(F.split("x.t", " ")).alias("word"))
     terms = words.select("bucket", "place", "v", F.xxhash64("word").alias("term")).groupBy("bucket", "place", "v", "term").agg(F.count("*").alias("n"))
-    prints = signature(terms, ["bucket", "place", "v"], slots)
+    prints = signature(terms, ["bucket", "place", "v"])
     both = prints.groupBy("bucket", "place").agg(F.max(F.when(F.col("v") == 0, F.col("slots"))).alias("a"), F.max(F.when(F.col("v") == 1, F.col("slots"))).alias("e"))
     following = both.withColumn("f", F.lead("a").over(Window.partitionBy("bucket").orderBy("place")))
     kept = base.filter("own").select("bucket", "place", "key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
