@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, fingerprint, quality, sstable, tokencount, urlrules
+from quire.llm import bpe, decontaminate, fingerprint, pii, quality, sstable, tokencount, urlrules
 from quire.llm.common import read, text_of
 
 
@@ -67,6 +67,13 @@ def op6_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: counts by kind, the base spans' digest, and all spans."""
+    found = pii.annotate(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op10_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read from the shards that hold all ids."""
     rows = sstable.write_and_read(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file(), end_id=2)
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_counts": op5_token_counts,
     "op6_weighted_fingerprints": op6_weighted_fingerprints,
+    "op7_pii_spans": op7_pii_spans,
     "op10_sorted_string_tables": op10_sorted_string_tables,
 }
 
