@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, fingerprint, pii, quality, sstable, tokencount, urlrules
+from quire.llm import bpe, decontaminate, fingerprint, pii, quality, sstable, suffixes, tokencount, urlrules
 from quire.llm.common import read, text_of
 
 
@@ -74,6 +74,12 @@ def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of any 200-byte string that starts elsewhere too."""
+    done = suffixes.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.octet_length(text_of("text")).cast("long").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read from the shards that hold all ids."""
     rows = sstable.write_and_read(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file(), end_id=2)
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_weighted_fingerprints": op6_weighted_fingerprints,
     "op7_pii_spans": op7_pii_spans,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_sorted_string_tables": op10_sorted_string_tables,
 }
 
