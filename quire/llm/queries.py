@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, fingerprint, pii, quality, sstable, suffixes, tokencount, urlrules
+from quire.llm import bpe, decontaminate, fingerprint, pii, quality, simjoin, sstable, suffixes, tokencount, urlrules
 from quire.llm.common import read, text_of
 
 
@@ -80,6 +80,11 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.octet_length(text_of("text")).cast("long").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component under three-word shingles of a Jaccard similarity of 0.9 or more."""
+    return simjoin.components(read(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=90)
+
+
 def op10_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read from the shards that hold all ids."""
     rows = sstable.write_and_read(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file(), end_id=2)
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_weighted_fingerprints": op6_weighted_fingerprints,
     "op7_pii_spans": op7_pii_spans,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_jaccard_components": op9_jaccard_components,
     "op10_sorted_string_tables": op10_sorted_string_tables,
 }
 
