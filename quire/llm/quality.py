@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import free_name, small_batches, text_of
+from quire.llm.common import free_name, small_batches, stored, text_of
 
 _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LABELS = ("poor", "toxic")
+#: Paths up to which their rates are broadcast; beyond, the join is shuffled.
+BROADCAST_ROWS = 50_000
 
 
 def features(text: str) -> set[str]:
@@ -152,6 +154,7 @@ def rates(scored: DataFrame, model: Model, host: str, path: str, evidence_: str
     """
     own = {x: _sigmoid(F.col(f"{evidence_}.{x}") + math.log(r / (1 - r))) for x, r in zip(LABELS, model.rate)}
     paths = scored.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(F.count("*").alias("n"), *[F.sum(own[x]).alias(x) for x in LABELS])
+    paths = stored(paths, "paths")  # so that the texts are scored once for all that follows
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in LABELS])
 
     def spread(level: DataFrame) -> list[tuple[float, float]]:
@@ -178,6 +181,9 @@ def score(df: DataFrame, model: Model, host: str, path: str, text: str = "text",
     ev = free_name(df, "quire_evidence")
     scored = evidence(df, model, text, ev)
     table = rates(scored, model, host, path, ev).select(F.col("host").alias("quire_host"), F.col("path").alias("quire_path"), *[F.col(f"rate_{x}").alias(f"quire_{x}") for x in LABELS])
+    table = stored(table, "rates")
+    if table.count() <= BROADCAST_ROWS:
+        table = F.broadcast(table)
     joined = scored.join(table, scored[host].eqNullSafe(table["quire_host"]) & scored[path].eqNullSafe(table["quire_path"]), "left")
     for x, r in zip(LABELS, model.rate):
         prior = F.least(F.greatest(F.coalesce(F.col(f"quire_{x}"), F.lit(r)), F.lit(1e-6)), F.lit(1 - 1e-6))
