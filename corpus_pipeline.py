@@ -3,16 +3,60 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quire.llm import bpe, decontaminate, pii, quality, simjoin
+from quire.llm.common import stored
+from quire.llm.queries import tokenizer_file
 from quire.session import ship
 
-STAGES: list = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality classifier finds poor or toxic."""
+    ship(spark)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model, "source", "lang").filter("keep").select(*COLUMNS)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group that five-word shingles link at a similarity of 0.8."""
+    ship(spark)
+    return simjoin.one_of_each(docs, n=5, percent=80).select(*COLUMNS)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold ten consecutive words of a benchmark item."""
+    ship(spark)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks personal data, and what gives it away, in the texts."""
+    ship(spark)
+    return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes the texts; the text that comes out is decoded from the ids."""
+    ship(spark)
+    path = tokenizer_file()
+    ids = bpe.encode(docs.select("doc_id", "text", "lang", "source"), path).drop("text")
+    return bpe.decode(ids, path, text="text").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("quality classifier", classify), ("n-gram Jaccard join", deduplicate), ("benchmark decontamination", decontaminated), ("PII", private), ("BPE encoding and decoding", tokenised)]
+#: The classifier and the tokenizer are beyond SQL.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again before the next."""
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"stage{i}")
     return docs
