@@ -67,8 +67,8 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min_z: float = 5.0, text: str = "text", key: str = "doc_id") -> Model:
     """Fits on about ``fit_rows`` labelled documents at most, dealt by a hash of their key.
 
-    labels: ``key``, quality (0 is poor), toxic (1 is toxic). A feature is kept if its log odds differ from none by ``min_z``
-    standard errors. Null keys and labels are left out; repeated labels count once each; without labels nothing is evidence.
+    labels: ``key``, quality (0 is poor), toxic (1 is toxic). A feature is kept if the likelihood ratio test finds it
+    ``min_z`` standard deviations from chance. Null keys and labels are left out; repeated labels count once each; without labels nothing is evidence.
     """
     small_batches(docs.sparkSession)
     marks = labels.select(F.col(key).alias("k"), (F.col("quality") == 0).cast("int").alias("poor"), (F.col("toxic") == 1).cast("int").alias("toxic")).dropna()
@@ -105,11 +105,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min_z: float
 
 
 def _weight(bad: int, n: int, all_bad: int, all_n: int, min_z: float) -> float:
-    a, b, c, d = bad + 0.5, n - bad + 0.5, all_bad - bad + 0.5, all_n - all_bad - (n - bad) + 0.5
-    odds = math.log(a * d / (b * c))
-    if abs(odds) < min_z * math.sqrt(1 / a + 1 / b + 1 / c + 1 / d):
+    cells = ((bad, all_bad, n), (n - bad, all_n - all_bad, n), (all_bad - bad, all_bad, all_n - n), (all_n - n - all_bad + bad, all_n - all_bad, all_n - n))
+    # the likelihood ratio test also holds where a cell is empty
+    g = 2 * sum(x * math.log(x * all_n / (row * col)) for x, row, col in cells if x > 0)
+    if g < min_z * min_z:
         return 0.0
-    return math.log(a / (all_bad + 1)) - math.log(b / (all_n - all_bad + 1))
+    return math.log((bad + 0.5) / (all_bad + 1)) - math.log((n - bad + 0.5) / (all_n - all_bad + 1))
 
 
 def _table(total: Counter) -> pa.RecordBatch:
