@@ -104,4 +104,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sorted_string_tables": op10_sorted_string_tables,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op2_benchmark_decontamination": f"""
+with items as (select item_id, {_WORDS} as w from benchmark),
+spots as (select item_id, w, least(10, len(w)) as n, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from items where len(w) > 0),
+windows as (select distinct item_id, n, array_to_string(w[i : i + n - 1], ' ') as s from spots),
+docs as (select doc_id, {_WORDS} as w from documents),
+places as (select doc_id, w, n, unnest(range(1, greatest(0, len(w) - n + 1) + 1)) as i from docs, (select distinct n from windows)),
+found as (select doc_id, i, p.n, item_id from places p join windows x on p.n = x.n and array_to_string(p.w[i : i + p.n - 1], ' ') = x.s),
+hit as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from found) group by 1),
+named as (select doc_id, count(*) as n_items, string_agg(name, ',' order by name) as names from (select distinct doc_id, item_id::varchar as name from found) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join hit using (doc_id) left join named using (doc_id)""",
+    # where no rule is mined, as from labels that say nothing of URLs
+    "op3_url_filter": urlrules.oracle(RULES),
+}

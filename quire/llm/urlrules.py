@@ -66,11 +66,11 @@ def tokens_of(url: Column) -> Column:
     return F.coalesce(F.array_distinct(F.concat(scheme, part(host, r"\.", "h:"), part(path, "/", "p:"), keys)), F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8, min_lift: float = 2.0, fit_rows: int = 20_000, url: str = "url", bad: str = "bad") -> list[tuple[frozenset[str], float, float]]:
+def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8, min_lift: float = 2.0, min_rows: int = 20, fit_rows: int = 20_000, url: str = "url", bad: str = "bad") -> list[tuple[frozenset[str], float, float]]:
     """The kept rules: tokens that together go with ``bad``, their confidence and support; the best first.
 
     Fits on at most about ``fit_rows`` rows, dealt by a hash of the URL; null URLs and labels are left out; no rows give no rules.
-    A rule must hold in ``min_support`` of these rows, so the number of rules has a bound that doesn't grow with the input.
+    A rule must hold in ``min_support`` of these rows, and in ``min_rows`` of them, since a few rows agree by chance; so the number of rules has a bound that doesn't grow with the input.
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -81,7 +81,8 @@ def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float =
     baskets = rows.select(F.when(F.col("bad"), F.concat(tokens_of(F.col("url")), F.array(F.lit(BAD)))).otherwise(tokens_of(F.col("url"))).alias("items"))
     if not n or baskets.isEmpty():
         return []
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    support = min(1.0, max(min_support, min_rows / max(1, min(n, fit_rows))))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.filter((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.col("lift") >= min_lift)).collect()
     kept: list[tuple[frozenset[str], float, float]] = []
     for r in sorted(found, key=lambda r: (len(r.antecedent), -r.confidence, -r.support, sorted(r.antecedent))):
@@ -152,4 +153,4 @@ with parts as (
          coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
   from pages)
-select page_id, host, path, {rule} as rule, {verdict} as verdict from parts"""
+select page_id, host, path, {rule} as rule, {verdict} as verdict, null::varchar as mined_rule from parts"""
