@@ -66,7 +66,12 @@ def ends_sentence(c: Column) -> Column:
 
 def preview(c: Column, limit: int = 220) -> Column:
     t = collapsed(c)
-    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, limit - 1), r"(?U)\s+$", ""), F.lit("…")))
+    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, limit - 3), r"(?U)\s+$", ""), F.lit("...")))
+
+
+def without_artifacts(c: Column) -> Column:
+    """A line that begins with its only question mark and a space had a bullet there."""
+    return F.regexp_replace(c, r"(?m)^([^\S\n]*)\? ([^?\n]*)$", "$1- $2")
 
 
 #: What is masked before translation, in this order.

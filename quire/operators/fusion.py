@@ -89,3 +89,29 @@ def segments(native: DataFrame, ocr: DataFrame) -> DataFrame:
 def method_of(methods: Column) -> Column:
     """Of the chunks' methods: none, the only one, or mixed."""
     return F.when(F.size(methods) == 0, "skipped").when(F.size(methods) == 1, F.element_at(methods, 1)).otherwise("mixed")
+
+
+#: Headers of tables, and what buttons say.
+HEADERS = ["designation", "désignation", "quantite", "quantité", "unite", "unité", "prix ht", "total ht"]
+CONTROLS = ["traduction complete", "ocr uniquement", "relecture humaine", "export debug", "valider"]
+
+
+def is_control(c: Column) -> Column:
+    return F.regexp_replace(F.lower(T.collapsed(c)), "^[ :]+|[ :]+$", "").isin(CONTROLS)
+
+
+def is_list(c: Column) -> Column:
+    cells = T.lines(c)
+    marked = F.size(F.filter(cells, lambda x: F.rlike(x, F.lit(r"(?U)^(?:[-*•] |\d[.)] )"))))
+    return (F.size(cells) >= 2) & (marked >= F.greatest(F.lit(2), F.size(cells) - 1))
+
+
+def is_table_header(c: Column) -> Column:
+    cells = F.array_distinct(F.transform(T.lines(c), lambda x: F.lower(T.collapsed(x))))
+    return (F.size(T.lines(c)) >= 2) & (F.size(F.array_intersect(cells, F.array(*map(F.lit, HEADERS)))) >= 3)
+
+
+def is_table_row(c: Column) -> Column:
+    cells = T.lines(c)
+    short = (F.length(c) <= 220) & F.forall(cells, lambda x: F.length(x) <= 80)
+    return (F.size(cells) >= 2) & ~is_list(c) & short & (F.exists(cells, lambda x: F.rlike(x, F.lit(r"(?U)\d"))) | is_table_header(c))

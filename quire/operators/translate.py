@@ -75,19 +75,18 @@ def batches(grouped: DataFrame, max_groups: int = 8, max_chars: int = 2500) -> D
     return sized.join(numbers, ["doc_id", "page_number", "block_pos", "group_no"])
 
 
-#: An answer's line: an id in brackets, then text.
-_ANSWER = r"(?s)^\[(P\d+B\d+L\d+)\]\s*(.*)$"
+#: An answer's line, an id in brackets and text, and lines that say nothing.
+_ANSWER = r"^\[(P\d+B\d+L\d+)\]\s?(.*)$"
+NOISE = ["### Response:", "Response:", "Translation:", "Translated segments:", "Output:", "```", "</GROUP>"]
 
 
 def parsed(response: Column) -> Column:
-    """struct(answers: map of id to text, the last of each; errors: lines that are neither answers nor group tags)."""
-    ls = T.lines(response)
-    noise = r"^\[/?(?:GROUP|P\d+B\d+G\d+)[^\]]*\]$"
+    """struct(answers: map of id to text, the last of each; errors: lines that are neither answers nor noise nor group tags)."""
+    ls = F.filter(T.lines(response), lambda x: ~x.isin(NOISE) & ~F.startswith(x, F.lit("<GROUP ")))
     answers = F.filter(ls, lambda x: F.rlike(x, F.lit(_ANSWER)))
-    pairs = F.transform(answers, lambda x: F.struct(F.regexp_extract(x, _ANSWER, 1).alias("key"), F.regexp_extract(x, _ANSWER, 2).alias("value")))
+    pairs = F.transform(answers, lambda x: F.struct(F.regexp_extract(x, _ANSWER, 1).alias("key"), T.strip(F.regexp_extract(x, _ANSWER, 2)).alias("value")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    errors = F.filter(ls, lambda x: ~F.rlike(x, F.lit(_ANSWER)) & ~F.rlike(x, F.lit(noise)))
-    return F.struct(F.map_from_entries(last).alias("answers"), errors.alias("errors"))
+    return F.struct(F.map_from_entries(last).alias("answers"), F.filter(ls, lambda x: ~F.rlike(x, F.lit(_ANSWER))).alias("errors"))
 
 
 def complete(expected: Column, answers: Column) -> Column:
@@ -129,3 +128,15 @@ def call_translator(rows: DataFrame, translate: Callable[[str], str], text: str
             yield frame.assign(translated_text=out, status=status)
 
     return rows.mapInPandas(run, schema)
+
+
+def prompt(members: Column, source: str = "French", target: str = "English") -> Column:
+    """What a group's lines are asked with; the ids must come back."""
+    return F.concat(F.lit(f"Translate from {source} to {target}. Keep each id and every [[KEY]] as it is.\n"), group_text(members))
+
+
+def by_rules(rows: DataFrame, glossary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose whole text is in the glossary (term, translation), translated; and those left for a translator. The glossary is small."""
+    terms = glossary.select(F.lower(T.collapsed(F.col("term"))).alias("_term"), F.col("translation").alias("translated_text")).dropDuplicates(["_term"])
+    joined = rows.join(terms, F.lower(T.collapsed(rows["source_text"])) == F.col("_term"), "left").drop("_term")
+    return joined.filter("translated_text is not null").withColumn("method", F.lit("glossary")), joined.filter("translated_text is null").drop("translated_text")
