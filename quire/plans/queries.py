@@ -207,6 +207,12 @@ ORACLES: dict[str, str] = {
         r as (select *, case when status <> 'translated' then 'low' when a <= 0 then 'high' when (x1 - x0 < 24) and over > 1.15 then 'high' when over > 1.6 and dense > 18 then 'high' when dense > 24 then 'high' when dense > 18 then 'medium' when over > 1.35 then 'high' when over > 1.1 then 'medium' else 'low' end as fit_risk from f),
         s as (select *, case when status <> 'translated' then 'native_skipped' when fit_risk = 'high' then 'native_review_required' when dense > 18 then 'native_overlay_with_fit_adjustment' else 'native_overlay_candidate' end as strategy from r)
         select fit_risk, strategy, case when status <> 'translated' then 'skipped_status' when strategy in ('native_review_required', 'native_skipped') then 'skipped_apply_strategy' when fit_risk not in ('low', 'medium') then 'skipped_fit_risk' else 'applied' end as decision, count(*) as blocks from s group by all""",
+    "ocr_plan": r"""with s as (select doc_id, length(regexp_replace(text, '^[\s\p{Z}\x{85}\x{1c}-\x{1f}\v]+|[\s\p{Z}\x{85}\x{1c}-\x{1f}\v]+$', '', 'g')) as n, length(regexp_replace('[EN] ' || text, '[\s\p{Z}\x{85}\x{1c}-\x{1f}\v]+$', '', 'g')) as m from documents),
+        r as (select *, case when n > 0 then m / n else 1.0 end as over, m / 45000.0 * 1000 as d from s),
+        k as (select *, case when over > 1.6 or m > 260 then 'high' when over > 1.25 or m > 180 then 'medium' else 'low' end as fit_risk from r),
+        c as (select *, case when m <= 1200 and d <= 18 then 'ocr_overlay_candidate' when d > 22 then 'ocr_side_annotation' when fit_risk in ('low', 'medium') and d <= 18 then 'ocr_overlay_candidate' else 'ocr_side_annotation' end as strategy,
+          case when fit_risk = 'low' and over <= 1.25 and m <= 180 then 'image_overlay_candidate' else 'side_annotation_recommended' end as recommendation from k)
+        select doc_id, fit_risk, strategy, recommendation, case recommendation when 'image_overlay_candidate' then 'ready_for_image_overlay' else 'side_annotation_review' end as readiness from c""",
     "fused_pages": """with n as (select o_custkey as p, count(*) as k from orders where o_custkey % 2 = 0 group by 1), o as (select o_custkey as p, count(*) as k, case when o_custkey % 9 = 0 then 'ocr_only' end as r from orders where o_custkey % 3 = 0 group by all)
         select 0 as doc_id, coalesce(n.p, o.p) as page_number, coalesce(r, case when n.p is not null then 'native_only' else 'ocr_only' end) as route, coalesce(n.k, 0) as native_region_count, coalesce(o.k, 0) as ocr_region_count from n full join o on n.p = o.p""",
     "missing_pages": "select 0 as doc_id, c_custkey as page_number from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')",
