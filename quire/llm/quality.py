@@ -15,7 +15,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import free_name, small_batches, stored, text_of
@@ -52,6 +53,13 @@ def features(text: str) -> set[str]:
     return found
 
 
+def least_hash(text: str) -> int:
+    """The least hash of the text's word pairs: the same for near copies, mostly; of a word or none, that of the text."""
+    words = text.split()
+    found = min((xxhash.xxh3_64_intdigest(f"{a} {b}") for a, b in zip(words, words[1:])), default=xxhash.xxh3_64_intdigest(text))
+    return found - (1 << 64) if found >> 63 else found
+
+
 def _step(x: float) -> str:
     return "0" if x <= 0 else f"{min(9, int(x * 10))}" if x >= 0.1 else "0+"
 
@@ -68,7 +76,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min_z: float
     """Fits on about ``fit_rows`` labelled documents at most, dealt by a hash of their key.
 
     labels: ``key``, quality (0 is poor), toxic (1 is toxic). A feature is kept if the likelihood ratio test finds it
-    ``min_z`` standard deviations from chance. Null keys and labels are left out; repeated labels count once each; without labels nothing is evidence.
+    ``min_z`` standard deviations from chance. Null keys and labels are left out; near copies count once; without labels nothing is evidence.
     """
     small_batches(docs.sparkSession)
     marks = labels.select(F.col(key).alias("k"), (F.col("quality") == 0).cast("int").alias("poor"), (F.col("toxic") == 1).cast("int").alias("toxic")).dropna()
@@ -76,6 +84,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min_z: float
     few = F.lit(True) if n <= fit_rows else F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n)
     rows = docs.select(F.col(key).alias("k"), text_of(text).alias("text")).filter(few).join(marks.filter(few), "k")
 
+    @F.arrow_udf("long")
+    def mark(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([least_hash(t) for t in b.to_pylist()], pa.int64())
+
+    # a group of copies is one piece of evidence, however large: one of those with one least hash counts
+    first = Window.partitionBy("mark").orderBy("k", "poor", "toxic", F.xxhash64("text"))
+    rows = rows.withColumn("mark", mark(F.col("text"))).withColumn("place", F.row_number().over(first)).filter("place = 1")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[tuple[str, int, int]] = Counter()
         for b in batches:
