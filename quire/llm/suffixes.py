@@ -25,8 +25,8 @@ LENGTH = 200
 _GRAM = 64
 #: Window starts looked at together.
 _PIECE = 1 << 20
-#: Classes of an anchor up to which they are compared in one task.
-_FEW = 128
+#: Classes of an anchor up to which they are compared in one task, for which two tables of their common prefixes are held.
+_FEW = 4096
 _R = np.random.default_rng(20240229)
 _TABLE = _R.integers(0, 1 << 64, 256, np.uint64)
 _FACTORS = _R.integers(0, 1 << 63, 6, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,8 +118,8 @@ def pairwise(texts: list[bytes]) -> np.ndarray:
     """The common prefixes of all pairs, as the least of the neighbours' between them in sorted order."""
     order, lcp = deep_shallow(texts)
     n = len(texts)
-    out = np.zeros((n, n), np.int64)
-    steps = np.array(lcp, np.int64)
+    out = np.zeros((n, n), np.int16)
+    steps, order = np.array(lcp, np.int16), np.array(order)
     for i in range(n - 1):
         low = np.minimum.accumulate(steps[i + 1 :])
         out[order[i], order[i + 1 :]] = low
@@ -134,10 +134,15 @@ def shared_windows(classes: list[tuple[bytes, int]], length: int = LENGTH) -> li
     np.fill_diagonal(rights, 0)
     out = []
     for i, (data, a) in enumerate(classes):
-        fits = np.flatnonzero(lefts[i] + rights[i] >= length)
         # with offset o before the anchor: length - right <= o <= left
-        runs = [(a - int(lefts[i][j]), a - max(0, length - int(rights[i][j]))) for j in fits]
-        out.append(_union([(max(0, x), min(y, len(data) - length)) for x, y in runs], 1))
+        first = np.maximum(0, a - lefts[i].astype(np.int64))
+        last = np.minimum(len(data) - length, a - np.maximum(0, length - rights[i].astype(np.int64)))
+        fits = first <= last
+        marks = np.zeros(len(data) - length + 2, np.int64)
+        np.add.at(marks, first[fits], 1)
+        np.add.at(marks, last[fits] + 1, -1)
+        inside = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(marks[:-1]) > 0, [0]]).astype(np.int8)))
+        out.append([(int(x), int(y) - 1) for x, y in zip(inside[::2], inside[1::2])])
     return out
 
 
