@@ -10,26 +10,28 @@ all documents, but a block: the n-grams of one residue. Sets that link differ in
 counted by bands of size; a set is listed in its own band and the next, so sets of neighbouring sizes meet.
 
 Lists are never expanded into pairs. Round by round, sets of a list that aren't connected yet are compared with one
-member of it, another one each time, and verified on whole sets; only what is still apart after that is compared in pairs, one set of each
-unconnected part at a time where a 1024-bit parity sketch doesn't rule a link out.
+member of it, another one each time, and verified on whole sets. What is still apart after that is settled by what each set differs in
+from the list's lead (``_by_differences``), with a 1024-bit parity sketch before whole sets are compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import free_name, small_batches, stored, text_of
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BITS = 1024
+#: Turns at most in which what is still apart after the rounds is settled, and rows from which another turn pays.
+SLICES, SLICE_ROWS = 8, 10_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -97,16 +99,22 @@ def _choose(n: int, k: int) -> int:
     return out
 
 
-def _band(size: int, first: int, percent: int) -> tuple[int, int, int]:
-    """The number of a size's band, and the blocks that sets meet by in it and in the next."""
+def _bands(size: int, first: int, percent: int) -> list[tuple[int, int]]:
+    """The bands by which a set of this size meets others, each with its number of blocks: its own, and the next if that holds sizes it may link with.
+
+    A band spans two steps of the threshold, so that about half of all sets are listed once.
+    """
     k, low = 0, first
     while True:
-        high = 100 * low // percent + 1
+        high = (100 * low // percent + 1) * 100 // percent + 1
         if size < high:
             break
         k, low = k + 1, high
     blocks = lambda high: 2 * (high - 1) - 2 * least_common(high - 1, high - 1, percent) + 2
-    return k, blocks(high), blocks(100 * high // percent + 1)
+    out = [(k, blocks(high))]
+    if 100 * size >= percent * high:
+        out.append((k + 1, blocks((100 * high // percent + 1) * 100 // percent + 1)))
+    return out
 
 
 def keys(s: np.ndarray, percent: int) -> np.ndarray:
@@ -125,8 +133,7 @@ def keys(s: np.ndarray, percent: int) -> np.ndarray:
                 out.append(_mix((total - np.array(left, np.uint64)) ^ np.uint64(n - d)))
         first = max(1, percent * (light + 1) // 100)
         if n >= first:
-            k, now, after = _band(n, first, percent)
-            for band, blocks in ((k, now), (k + 1, after)):
+            for band, blocks in _bands(n, first, percent):
                 part = ((s >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
                 sums = np.zeros(blocks, np.uint64)
                 np.add.at(sums, part, m)
@@ -166,10 +173,11 @@ def components(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id"
     rows = df.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
     docs = stored(rows.mapInArrow(listing, "key long, n long, sid long, keys array<long>"), "sets")
     listed = docs.filter("sid is not null").select("sid", F.explode("keys").alias("k"))
-    # sid ^ k orders the sets anew in each list, and gives the set back
-    x = F.col("sid").bitwiseXOR(F.col("k"))
-    shared = listed.groupBy("k").agg(F.min(x).alias("a"), F.max(x).alias("b")).filter("a <> b").select("k")
-    members = stored(listed.join(shared, "k", "left_semi").distinct(), "members")
+    # counts first, which are small to shuffle; copies of one set are told from different sets after that
+    often = listed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
+    several = stored(listed.join(often, "k", "left_semi").distinct(), "several")
+    shared = several.groupBy("k").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).filter("a <> b").select("k")
+    members = stored(several.join(shared, "k", "left_semi"), "members")
     involved = members.select("sid").distinct()
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +196,7 @@ def components(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id"
     labels = stored(involved.select("sid", F.col("sid").alias("part")), "labels")
     for turn in range(rounds):
         own = members.join(labels, "sid")
+        # sid ^ k ^ salt orders the sets of a list anew each time, and gives the set back
         salted = F.col("sid").bitwiseXOR(F.col("k")).bitwiseXOR(F.lit(turn * 0x2545F4914F6CDD1D))
         mixed = own.groupBy("k").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min(salted).alias("x")).filter("p <> q")
         leads = mixed.select("k", F.col("x").bitwiseXOR(F.col("k")).bitwiseXOR(F.lit(turn * 0x2545F4914F6CDD1D)).alias("lead"))
@@ -201,12 +210,16 @@ def components(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id"
         labels = _joined(labels, links)
     own = members.join(labels, "sid")
     mixed = own.groupBy("k").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("k")
-    rest = stored(own.join(mixed, "k", "left_semi").join(sets.select("sid", "n", "bits"), "sid"), "rest")
+    left = stored(own.join(mixed, "k", "left_semi"), "left")
+    # the set in most lists leads them, so that a family of near copies mostly has one lead
+    weight = left.groupBy("sid").agg(F.count("*").alias("lists"))
+    leads = left.join(weight, "sid").groupBy("k").agg(F.max(F.struct("lists", "sid")).alias("m")).select("k", F.col("m.sid").alias("lead"))
+    rest = stored(left.join(leads, "k").select("lead", "sid", "part").distinct(), "rest")
     if not rest.isEmpty():
-        a, b = (rest.select("k", *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "part", "n", "bits")]) for x in "ab")
-        near = a.join(b, "k").filter("part_a < part_b").filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-        pairs = near.filter(_may_link(percent)(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"))).select(F.col("sid_a").alias("sid"), F.col("sid_b").alias("other")).distinct()
-        links = stored(_verified(pairs, sets, percent), "links")
+        # lists of one lead stay together; in turns, so that whole sets are shuffled for a part of them at a time
+        turns = min(SLICES, 1 + rest.count() // SLICE_ROWS)
+        found = [stored(_by_differences(rest.filter(F.pmod(F.xxhash64("lead"), F.lit(turns)) == i), sets, percent), "links") for i in range(turns)]
+        links = reduce(DataFrame.unionByName, found).distinct()
         if not links.isEmpty():
             labels = _joined(labels, links)
     named = docs.select("key", "n", "sid").join(labels, "sid", "left").select("key", "n", "sid", F.coalesce("part", "sid").alias("part"))
@@ -215,6 +228,44 @@ def components(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id"
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("key")).otherwise(F.col("least")).alias("component_id"))
 
 
+def _by_differences(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join all sets of a list which link at all, from what each differs in from the list's lead.
+
+    rest: (lead, sid, part). With n elements, d of them or of the lead's not shared, let w = (100 - percent) n - (100 + percent) d. Sets i and j
+    differ in d_i + d_j elements less twice those that their differences share, so they link if w_i + w_j >= 0, and then
+    both link with the set of greatest w: one comparison a set finds all of these. Other sets link only if their differences share
+    K >= -(w_i + w_j) / 2 (100 + percent) elements: inverted lists of the differences, rarest elements first and only as many
+    as K asks for, find those few.
+    """
+    up, down = 100 - percent, 100 + percent
+    members, leads = (rest.select(F.col(c).alias("sid")).distinct() for c in ("sid", "lead"))
+    theirs = sets.join(leads, "sid", "left_semi").select(F.col("sid").alias("lead"), F.col("set").alias("lead_set"))
+    ends = rest.join(sets.join(members, "sid", "left_semi").select("sid", "n", "bits", "set"), "sid").join(theirs, "lead")
+
+    @F.arrow_udf("array<long>")
+    def differences(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x, y in batches:
+            yield pa.array([np.setxor1d(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), assume_unique=True) for a, b in zip(x.to_pylist(), y.to_pylist())], pa.list_(pa.int64()))
+
+    own = ends.withColumn("es", differences(F.col("set"), F.col("lead_set"))).withColumn("d", F.size("es").cast("long")).withColumn("w", up * F.col("n") - down * F.col("d"))
+    own = stored(own.select("lead", "sid", "part", "n", "d", "w", "es", "bits"), "differences")
+    hubs = own.groupBy("lead").agg(F.max(F.struct("w", "sid", "part")).alias("hub"))
+    with_hub = own.join(hubs, "lead")
+    direct = with_hub.filter((F.col("w") + F.col("hub.w") >= 0) & (F.col("part") != F.col("hub.part"))).select("sid", F.col("hub.sid").alias("other"))
+    least = F.greatest(F.lit(1), F.ceil(-(F.col("w") + F.col("hub.w")) / (2 * down)))
+    entries = with_hub.select("lead", "sid", "part", "n", "d", "w", least.alias("least"), F.explode("es").alias("e"))
+    seen = entries.groupBy("lead", "e").agg(F.count("*").alias("f"))
+    ranked = entries.join(seen, ["lead", "e"]).withColumn("r", F.row_number().over(Window.partitionBy("lead", "sid").orderBy("f", "e")))
+    listed = stored(ranked.filter("f > 1 and r <= d - least + 1").select("lead", "e", "sid", "part", "n", "d", "w"), "listed")
+    a, b = (listed.select("lead", "e", *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "part", "n", "d", "w")]) for x in "ab")
+    close = (F.col("w_a") + F.col("w_b") + 2 * down * F.least("d_a", "d_b") >= 0) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    pairs = a.join(b, ["lead", "e"]).filter("part_a < part_b").filter(close).select(F.col("sid_a").alias("sid"), F.col("sid_b").alias("other"), "n_a", "n_b").distinct()
+    bits = sets.select("sid", "bits")
+    sketched = pairs.join(bits.withColumnRenamed("bits", "bits_a"), "sid").join(bits.select(F.col("sid").alias("other"), F.col("bits").alias("bits_b")), "other")
+    likely = sketched.filter(_may_link(percent)(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"))).select("sid", "other")
+    return direct.unionByName(_verified(stored(likely, "likely"), sets, percent)).distinct()
+
+
 def _may_link(percent: int):
     @F.arrow_udf("boolean")
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
