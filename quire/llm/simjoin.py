@@ -30,8 +30,8 @@ from quire.llm.common import free_name, small_batches, stored, text_of
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BITS = 1024
-#: Turns at most in which what is still apart after the rounds is settled, and rows from which another turn pays.
-SLICES, SLICE_ROWS = 8, 10_000
+#: Turns at most in which whole sets are compared, and pairs from which another turn pays.
+SLICES, SLICE_ROWS = 8, 5_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -204,7 +204,7 @@ def components(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id"
         met = own.join(leads, "k").filter("part <> lead_part")
         # one comparison a set and turn
         pairs = met.groupBy("sid").agg(F.min(F.struct(F.xxhash64("k", F.lit(turn)), "lead")).alias("m")).select("sid", F.col("m.lead").alias("other"))
-        links = stored(_verified(pairs, sets, percent), "links")
+        links = _in_turns(stored(pairs, "pairs"), sets, percent)
         if links.isEmpty():
             continue
         labels = _joined(labels, links)
@@ -282,6 +282,17 @@ def _may_link(percent: int):
     return run
 
 
+def _in_turns(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link, found for a part of them at a time, so that not all sets are shuffled at once."""
+    turns = min(SLICES, 1 + pairs.count() // SLICE_ROWS)
+    parts = []
+    for i in range(turns):
+        part = pairs.filter(F.pmod(F.xxhash64("other"), F.lit(turns)) == i)
+        named = part.select("sid").union(part.select("other")).distinct()
+        parts.append(stored(_verified(part, sets.join(named, "sid", "left_semi"), percent), "links"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (sid, other) that link."""
     @F.arrow_udf("boolean")
