@@ -152,7 +152,8 @@ def near_rows():
 
 
 @pytest.mark.parametrize("n,percent,rounds", [(3, 90, 4), (5, 80, 0)])
-def test_components_equal_brute_force(spark, n, percent, rounds):
+def test_components_equal_brute_force(spark, monkeypatch, n, percent, rounds):
+    monkeypatch.setattr(simjoin, "SLICE_ROWS", 5_000 if rounds else 300)  # several turns in the second case
     rows = near_rows()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in simjoin.components(spark.createDataFrame(rows, "doc_id long, text string"), n, percent, rounds=rounds).collect()}
     assert got == brute_components(rows, n, percent)
