@@ -113,7 +113,8 @@ def disclosing(df: DataFrame, text: str = "text", window: int = 5, min_contexts:
         return pairs.select("entity", "term"), mentions.select("digest", "entity")
     terms = pairs.select("term").distinct()
     words = df.select(F.explode(F.array_distinct(_words(text_of(text)))).alias("term"))
-    counted = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    # counted before the join, which then sees each term once and not each of its documents; a semi join would be pushed below the count
+    counted = words.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term")
     n = df.count()
     pmi = F.log(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.greatest("df", "n_et")))
     kept = pairs.join(counted, "term").filter(pmi >= alpha * F.log(F.lit(float(max(n, 2))) / F.col("n_e")))
