@@ -1,11 +1,10 @@
 """Document fingerprints by consistent weighted sampling, with DataFrame operations alone.
 
-A document is a set of terms, its words between spaces, weighted by how often each occurs. In each of ``REPEATS``
-independent rounds, term x of weight w gets r, c ~ Gamma(2, 1) and b ~ U(0, 1) from a hash of term and round; with
+A document is a set of terms, its words between spaces, weighted by how often each occurs. In each of ``SLOTS``
+independent draws, term x of weight w gets r, c ~ Gamma(2, 1) and b ~ U(0, 1) from a hash of term and round; with
 t = floor(ln w / r + b), the term of least ln c - r (t - b) - r wins, and (x, t) is the sample. Two sets of terms get the
 same sample with a probability of their generalised Jaccard similarity, sum of min over sum of max of the weights.
-A round deals the terms to ``BINS`` bins by their hash and takes a sample in each, as one-permutation hashing does, so a
-term is drawn for once a round and not once a slot; a bin that is empty on both sides says nothing.
+Each slot is drawn over the whole set, so the share of equal slots follows that similarity however few the terms or uneven their weights.
 A slot keeps 16 bits of a hash of its sample.
 """
 
@@ -18,8 +17,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import text_of
 
-REPEATS, BINS = 4, 16
-SLOTS = REPEATS * BINS
+SLOTS = 64
 #: Steps in which r and ln c are drawn.
 _STEPS = 1024
 _ID_BITS = 20
@@ -39,44 +37,41 @@ def _gamma_quantiles(n: int) -> list[float]:
     return out
 
 
-def _constant(values: list[float]) -> str:
-    return "cast(split('" + ",".join(map(repr, values)) + "', ',') as array<double>)"
+def _sample(k: int) -> str:
+    """What slot k takes the least of: the rank of a term's sample above 20 bits of the sample's hash.
 
-
-def _sample(term: str, ln_weight: str, k: int, q: tuple[str, str]) -> str:
-    """What a bin takes the least of in round k: the rank of a term's sample above 20 bits of the sample's hash."""
-    h = f"xxhash64({term}, {k})"
-    r = f"({q[0]})[cast({h} & {_STEPS - 1} as int)]"
-    ln_c = f"({q[1]})[cast(shiftrightunsigned({h}, 10) & {_STEPS - 1} as int)]"
+    Over columns term, ln_n, rs and ln_cs; a term's rank is ln c - r (t - b + 1), where t <= ln n / r + b.
+    """
+    h = f"xxhash64(term, {k})"
+    r = f"rs[cast({h} & {_STEPS - 1} as int)]"
+    ln_c = f"ln_cs[cast(shiftrightunsigned({h}, 10) & {_STEPS - 1} as int)]"
     b = f"((shiftrightunsigned({h}, 20) & 1048575) * {2.0**-20!r}D)"
-    t = f"floor({ln_weight} / {r} + {b})"
+    t = f"floor(ln_n / {r} + {b})"
     rank = f"cast(({ln_c} - {r} * ({t} - {b}) - {r} + 1024D) * {2.0**32!r}D as bigint)"
     ident = f"((shiftrightunsigned({h}, 40) + {t} * 40503) & {(1 << _ID_BITS) - 1})"
     return f"shiftleft({rank}, {_ID_BITS}) | {ident}"
 
 
 def signature(term_rows: DataFrame, by: list[str]) -> DataFrame:
-    """(by, term, n) -> (by, slots array<int>): the signature of each group of weighted terms; null where a bin is empty."""
+    """(by, term, n) -> (by, slots array<int>): the signature of each group of weighted terms."""
     q = _gamma_quantiles(_STEPS)
-    tables = _constant(q), _constant([math.log(x) for x in q])
-    rows = term_rows.select(*by, "term", F.log("n").alias("ln_n"))
-    rows = rows.select(*by, *[F.expr(_sample("term", "ln_n", k, tables)).alias(f"x{k}") for k in range(REPEATS)], *[F.expr(f"cast(pmod(xxhash64(term, {k + 1000}), {BINS}) as int)").alias(f"b{k}") for k in range(REPEATS)])
-    mins = [F.min(F.when(F.col(f"b{k}") == i, F.col(f"x{k}"))).alias(f"s{k}_{i}") for k in range(REPEATS) for i in range(BINS)]
-    slots = [(F.col(f"s{k}_{i}") % (1 << 16)).cast("int") for k in range(REPEATS) for i in range(BINS)]
+    # a broadcast row, not constants, of which the plan would hold two copies a slot
+    tables = term_rows.sparkSession.createDataFrame([(q, [math.log(x) for x in q])], "rs array<double>, ln_cs array<double>")
+    rows = term_rows.select(*by, "term", F.log("n").alias("ln_n")).crossJoin(F.broadcast(tables))
+    mins = [F.min(F.expr(_sample(k))).alias(f"s{k}") for k in range(SLOTS)]
+    slots = [(F.col(f"s{k}") % (1 << 16)).cast("int") for k in range(SLOTS)]
     return rows.groupBy(*by).agg(*mins).select(*by, F.array(*slots).alias("slots"))
 
 
 def text_form(slots: Column) -> Column:
-    """Four hexadecimal digits a slot, dots for an empty one."""
-    return F.lower(F.array_join(F.transform(slots, lambda x: F.coalesce(F.lpad(F.hex(x), 4, "0"), F.lit("...."))), ""))
+    """Four hexadecimal digits a slot."""
+    return F.lower(F.array_join(F.transform(slots, lambda x: F.lpad(F.hex(x), 4, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of slots in which two signatures agree, of those that aren't empty on both sides."""
-    pairs = F.zip_with(a, b, lambda x, y: F.when(x.isNull() & y.isNull(), 0).when(x.eqNullSafe(y), 1 << 20 | 1).otherwise(1))
-    both = F.aggregate(pairs, F.lit(0), lambda n, x: n + x)
-    seen = both % (1 << 20)
-    return F.when(seen > 0, F.floor(both / (1 << 20)) / seen).otherwise(1.0)
+    """The share of slots in which two signatures agree."""
+    same = F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0))
+    return F.aggregate(same, F.lit(0), lambda n, x: n + x) / F.lit(float(SLOTS))
 
 
 def _search(value: Column, bounds: list[int]) -> Column:

@@ -35,6 +35,13 @@ def test_fingerprints_follow_the_jaccard_similarity(spark):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_fingerprints_weigh_a_dominant_term(spark):
+    # generalised Jaccard similarity 100 / 102 and 120 / 122; bins of equal say give about 1/3
+    rows = [(1, "x " * 100 + "left"), (2, "x " * 100 + "right"), (3, "y " * 120 + "up"), (4, "y " * 120 + "down")]
+    got = {r.doc_id: r.near_next for r in P.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] > 0.85 and got[3] > 0.85 and got[2] < 0.1
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
