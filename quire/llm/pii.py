@@ -7,11 +7,14 @@ characters is entered at its beginning, and loops are possessive.
 The method: each found value is a protected entity e. A term t of the words around it discloses e by
 PMI(e; t) = ln(n(e,t) N / (n(e) df(t))), against the information of e itself, IC(e) = ln(N / n(e)). Contexts n are counted
 once each however often they are copied, df and N over all documents. A term with PMI >= alpha IC in enough different
-contexts gives e away even when e is masked; in texts that mention e it is generalised too.
+contexts gives e away even when e is masked; in texts that mention e it is generalised too. For an entity of few contexts,
+a term must be in all of them, and that must not be chance: (df(t) / N)^n(e,t) is tested.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,11 +94,12 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3)
 
 
-def disclosing(df: DataFrame, text: str = "text", window: int = 5, min_contexts: int = 3, alpha: float = 0.8, reach: int = 100) -> tuple[DataFrame, DataFrame]:
+def disclosing(df: DataFrame, text: str = "text", window: int = 5, min_contexts: int = 3, alpha: float = 0.8, reach: int = 100, chance: float = 0.01) -> tuple[DataFrame, DataFrame]:
     """(entity, term) of terms that disclose an entity, and (digest, entity) of the texts that mention it.
 
     A context is up to ``window`` words within ``reach`` characters on each side. A hot entity is no hot task: contexts are made distinct
-    and counted with partial sums. Entities found in fewer than ``min_contexts`` contexts disclose nothing.
+    and counted with partial sums. A term must be in ``min_contexts`` contexts, or in all of an entity that has fewer; then the chance of that,
+    by its df, must be at most ``chance`` over the terms of a context. So a lone context tells nothing in a table of few documents.
     """
     base = find(df.select(text_of(text).alias("text")), "text", "base").filter(F.size("base") > 0)
     one = base.select(F.sha2("text", 256).alias("digest"), "text", F.explode("base").alias("s"))
@@ -106,8 +110,8 @@ def disclosing(df: DataFrame, text: str = "text", window: int = 5, min_contexts:
     entity = F.concat_ws(":", F.col("s.kind"), F.lower("s.value"))
     mentions = stored(one.select("digest", entity.alias("entity"), F.array_sort(around).alias("around")).distinct(), "mentions")
     contexts = mentions.select("entity", "around").distinct()
-    known = contexts.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= min_contexts)
-    pairs = contexts.join(known, "entity").select("entity", "n_e", F.explode("around").alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_contexts)
+    known = contexts.groupBy("entity").agg(F.count("*").alias("n_e"))
+    pairs = contexts.join(known, "entity").select("entity", "n_e", F.explode("around").alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= F.least(F.lit(min_contexts), "n_e"))
     pairs = stored(pairs, "pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term"), mentions.select("digest", "entity")
@@ -117,7 +121,8 @@ def disclosing(df: DataFrame, text: str = "text", window: int = 5, min_contexts:
     counted = words.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term")
     n = df.count()
     pmi = F.log(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.greatest("df", "n_et")))
-    kept = pairs.join(counted, "term").filter(pmi >= alpha * F.log(F.lit(float(max(n, 2))) / F.col("n_e")))
+    sure = (F.col("n_et") >= min_contexts) | (F.col("n_et") * F.log(F.lit(float(n)) / F.greatest("df", "n_et")) >= math.log(2 * window / chance))
+    kept = pairs.join(counted, "term").filter(sure).filter(pmi >= alpha * F.log(F.lit(float(max(n, 2))) / F.col("n_e")))
     return stored(kept.select("entity", "term"), "disclosing"), mentions.select("digest", "entity")
 
 

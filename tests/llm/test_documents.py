@@ -77,6 +77,16 @@ def test_terms_that_give_an_entity_away(spark):
     assert pii.annotate(df.limit(0)).count() == 0
 
 
+def test_terms_of_an_entity_in_one_context(spark):
+    rows = [(0, "Quuxley writes from sue@acme.com today"), (1, "Blorpson writes from [1.2.3.4] now"), (2, "hello Blorpson writes from 1.2.3.4 now")] + [(10 + i, f"other writes from home today number {i} now") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.sanitise(df).filter("doc_id < 10").collect()}
+    assert out[0] == "[TERM] writes from [EMAIL] today" and "Blorpson" not in out[1] + out[2] and "writes from" in out[1]
+    # a lone context in a small table may be chance
+    few = pii.sanitise(df.filter("doc_id < 13")).filter("doc_id = 0").first().text
+    assert few == "Quuxley writes from [EMAIL] today"
+
+
 def brute_repeats(texts, length=200):
     c = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
