@@ -9,6 +9,7 @@ Posterior log odds = evidence + log odds of the shrunken rate.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -25,6 +26,8 @@ _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LABELS = ("poor", "toxic")
 #: Paths up to which their rates are broadcast; beyond, the join is shuffled.
 BROADCAST_ROWS = 50_000
+#: Hashes by which near copies are told in the fit, and their least similarity.
+SKETCH, NEAR = 64, 0.8
 
 
 def features(text: str) -> set[str]:
@@ -53,11 +56,18 @@ def features(text: str) -> set[str]:
     return found
 
 
-def least_hash(text: str) -> int:
-    """The least hash of the text's word pairs: the same for near copies, mostly; of a word or none, that of the text."""
+def sketch(text: str) -> list[int]:
+    """The least ``SKETCH`` hashes of the text's word pairs, ascending; of a word or none, that of the text."""
     words = text.split()
-    found = min((xxhash.xxh3_64_intdigest(f"{a} {b}") for a, b in zip(words, words[1:])), default=xxhash.xxh3_64_intdigest(text))
-    return found - (1 << 64) if found >> 63 else found
+    found = {xxhash.xxh3_64_intdigest(f"{a} {b}") >> 1 for a, b in zip(words, words[1:])} or {xxhash.xxh3_64_intdigest(text) >> 1}
+    return heapq.nsmallest(SKETCH, found)
+
+
+def near(a: list[int], b: list[int]) -> bool:
+    """Whether the texts of these sketches have a Jaccard similarity of ``NEAR`` or more, by the least hashes of both."""
+    x, y = set(a), set(b)
+    both = heapq.nsmallest(SKETCH, x | y)
+    return sum(h in x and h in y for h in both) >= NEAR * len(both)
 
 
 def _step(x: float) -> str:
@@ -84,14 +94,21 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min_z: float
     few = F.lit(True) if n <= fit_rows else F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n)
     rows = docs.select(F.col(key).alias("k"), text_of(text).alias("text")).filter(few).join(marks.filter(few), "k")
 
-    @F.arrow_udf("long")
-    def mark(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("array<long>")
+    def sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield pa.array([least_hash(t) for t in b.to_pylist()], pa.int64())
+            yield pa.array([sketch(t) for t in b.to_pylist()], pa.list_(pa.int64()))
+
+    @F.arrow_udf("boolean")
+    def alike(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x, y in batches:
+            yield pa.array([near(a, b) for a, b in zip(x.to_pylist(), y.to_pylist())], pa.bool_())
 
-    # a group of copies is one piece of evidence, however large: one of those with one least hash counts
-    first = Window.partitionBy("mark").orderBy("k", "poor", "toxic", F.xxhash64("text"))
-    rows = rows.withColumn("mark", mark(F.col("text"))).withColumn("place", F.row_number().over(first)).filter("place = 1")
+    # near copies with equal labels are one piece of evidence: with the first of their least hash counts what isn't like it
+    rows = rows.withColumn("sketch", sketches(F.col("text")))
+    alone = Window.partitionBy(F.col("sketch")[0], "poor", "toxic").orderBy("k", F.xxhash64("text"))
+    rows = rows.withColumn("place", F.row_number().over(alone)).withColumn("lead", F.first("sketch").over(alone))
+    rows = rows.withColumn("copy", alike(F.col("sketch"), F.col("lead"))).filter("place = 1 or not copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[tuple[str, int, int]] = Counter()
@@ -108,11 +125,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min_z: float
     counts = rows.select("text", "poor", "toxic").mapInArrow(run, "feature string, poor int, toxic int, n long").groupBy("feature").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("poor") == 1, F.col("n")).otherwise(0)).alias("poor"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic")
     )
-    # a feature of fewer documents can't reach min_z; the sample bounds what comes to the driver
-    found = {r.feature: r for r in counts.filter("n >= 8").collect()}
-    total = found.pop("", None)
+    counts = stored(counts, "counts")
+    total = counts.filter("feature = ''").first()
     if total is None:
         return Model({}, (0.05, 0.05))
+    # a feature of fewer documents can't reach min_z; the sample bounds what comes to the driver
+    found = {r.feature: r for r in counts.filter(F.col("n") >= 8).filter("feature <> ''").collect()}
     weights = {}
     for f, r in found.items():
         w = tuple(_weight(getattr(r, x), r.n, getattr(total, x), total.n, min_z) for x in LABELS)
@@ -121,11 +139,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min_z: float
     return Model(weights, tuple((getattr(total, x) + 0.5) / (total.n + 1) for x in LABELS))
 
 
-def _weight(bad: int, n: int, all_bad: int, all_n: int, min_z: float) -> float:
+def _test(bad: int, n: int, all_bad: int, all_n: int) -> float:
     cells = ((bad, all_bad, n), (n - bad, all_n - all_bad, n), (all_bad - bad, all_bad, all_n - n), (all_n - n - all_bad + bad, all_n - all_bad, all_n - n))
     # the likelihood ratio test also holds where a cell is empty
-    g = 2 * sum(x * math.log(x * all_n / (row * col)) for x, row, col in cells if x > 0)
-    if g < min_z * min_z:
+    return 2 * sum(x * math.log(x * all_n / (row * col)) for x, row, col in cells if x > 0)
+
+
+def _weight(bad: int, n: int, all_bad: int, all_n: int, min_z: float) -> float:
+    if _test(bad, n, all_bad, all_n) < min_z * min_z:
         return 0.0
     return math.log((bad + 0.5) / (all_bad + 1)) - math.log((n - bad + 0.5) / (all_n - all_bad + 1))
 

@@ -87,6 +87,21 @@ def test_quality_on_held_out_labels(spark):
     assert sum(good) / len(good) > 0.95 and sum(bad) / len(bad) < 0.1 and sum(toxic) / len(toxic) < 0.1
 
 
+def test_fit_folds_real_near_copies_only():
+    long = [f"w{i}" for i in range(200)]
+    assert Q.near(Q.sketch(" ".join(long)), Q.sketch(" ".join(long[:-2] + ["other", "end"])))
+    assert not Q.near(Q.sketch(" ".join(long)), Q.sketch(" ".join(long[:20] + [f"v{i}" for i in range(180)])))
+
+
+def test_fit_keeps_unlike_documents_of_one_least_hash(spark):
+    # all share the pair of least hash; the toxic ones are else unlike
+    pair = min((f"p{i} q{i}" for i in range(3000)), key=Q.xxhash.xxh3_64_intdigest)
+    rows = [(i, f"{pair} " + " ".join(f"u{i}x{j}" for j in range(8)) + (" vile" if i < 40 else " kind")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i < 40)) for i in range(400)], "doc_id long, quality int, toxic int")
+    assert Q.fit(docs, labels).weights["vile"][1] > 0
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, None, "en", True), (1, None, None, "en", True), (None, "", "s", None, True), (3, "word " * 9, "s", "en", None)], "doc_id long, text string, source string, lang string, keep boolean")
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 0, 1), (3, None, None)], "doc_id long, quality int, toxic int")
