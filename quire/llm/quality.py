@@ -130,7 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min_z: float
     if total is None:
         return Model({}, (0.05, 0.05))
     # a feature of fewer documents can't reach min_z; the sample bounds what comes to the driver
-    found = {r.feature: r for r in counts.filter(F.col("n") >= 8).filter("feature <> ''").collect()}
+    least = least_count([getattr(total, x) for x in LABELS], total.n, min_z)
+    found = {r.feature: r for r in counts.filter(F.col("n") >= least).filter("feature <> ''").collect()}
     weights = {}
     for f, r in found.items():
         w = tuple(_weight(getattr(r, x), r.n, getattr(total, x), total.n, min_z) for x in LABELS)
@@ -139,6 +140,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min_z: float
     return Model(weights, tuple((getattr(total, x) + 0.5) / (total.n + 1) for x in LABELS))
 
 
+def least_count(bad: list[int], n: int, min_z: float) -> int:
+    """The fewest documents whose feature can reach ``min_z``: all of one kind, by the likelihood ratio test."""
+    for k in range(1, n + 1):
+        if any(_test(x, k, a, n) >= min_z * min_z for a in bad for x in (min(k, a), max(0, k - (n - a)))):
+            return k
+    return n + 1
+
+
 def _test(bad: int, n: int, all_bad: int, all_n: int) -> float:
     cells = ((bad, all_bad, n), (n - bad, all_n - all_bad, n), (all_bad - bad, all_bad, all_n - n), (all_n - n - all_bad + bad, all_n - all_bad, all_n - n))
     # the likelihood ratio test also holds where a cell is empty

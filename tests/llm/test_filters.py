@@ -102,6 +102,11 @@ def test_fit_keeps_unlike_documents_of_one_least_hash(spark):
     assert Q.fit(docs, labels).weights["vile"][1] > 0
 
 
+def test_least_count_follows_the_test():
+    k = Q.least_count([449], 3980, 5.0)
+    assert k == 6 and Q._test(6, 6, 449, 3980) >= 25 > Q._test(5, 5, 449, 3980)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, None, "en", True), (1, None, None, "en", True), (None, "", "s", None, True), (3, "word " * 9, "s", "en", None)], "doc_id long, text string, source string, lang string, keep boolean")
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 0, 1), (3, None, None)], "doc_id long, quality int, toxic int")
