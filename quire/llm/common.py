@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows up to which a written table of a few longs is broadcast, by its count; beyond, the join is shuffled.
+BROADCAST_ROWS = 500_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors see; where it is unset (tests), a fresh one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder of ``spark.checkpoint.dir``, which all executors see. Where it is unset, a fresh one, but only if driver and executors are one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
+    _paths.add(path)
+    return path
 
 
 #: Lets Spark drop an execution's shuffle files when it ends; nothing reads them after a table is written.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What this process wrote to the shared folder and has not removed.
+_paths: set[str] = set()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +48,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["quire_path"] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that ``stored`` returned; what was made from them must have been written, too."""
+    for t in tables:
+        if path := t.__dict__.get("quire_path"):
+            _remove(t.sparkSession, path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes all that is left of the operators' tables in the shared folder; call it when their results have been read."""
+    for path in sorted(_paths):
+        _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _paths.discard(path)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of bounded rows and, but for single long rows, bytes; Spark bounds batches by 64 MB alone."""
+    for b in batches:
+        step = max(1, min(rows, int(len(b) * most / max(1, b.nbytes))))
+        for i in range(0, len(b), step):
+            yield b.slice(i, step)
 
 
 def small_batches(spark: SparkSession, rows: int = 1024, bytes_: str = "8m") -> None:

@@ -1,37 +1,38 @@
 """Exact n-gram Jaccard join and its connected components, by a size-aware heavy-light join.
 
-A document's set holds 64-bit hashes of its distinct word n-grams. Equal sets are one class from the start. Then:
+A document's set holds 64-bit hashes of its distinct word n-grams; sets are named by 128 bits, and equal sets are one from the start.
 
-Light: up to a size chosen by cost, two sets link only if they share a subset of the fixed size that the threshold asks for. All such
-subsets are enumerated and named by a sum of hashes, so a light set meets its partners directly.
+Light: two sets up to a size chosen by cost link exactly if they share a subset of the fixed size that the threshold asks of
+their sizes. All such subsets are enumerated, each under its size pair, so that whoever meets under one links, unverified.
 
-Heavy: larger sets are looked up in inverted lists. A list's key isn't one n-gram, which may be in a third of
-all documents, but a block: the n-grams of one residue. Sets that link differ in at most D n-grams, so among D + 1 blocks one is the same in both. Blocks are
-counted by bands of size; a set is listed in its own band and the next, so sets of neighbouring sizes meet.
+Heavy: larger sets, and light ones that may link with them, scan inverted lists of n-grams. Of sets that link at
+``percent`` hundredths, each has one of its first (100 - percent) / 100 n + 1 n-grams, in any order that all sets share, in common with the
+other's. The order puts n-grams of a fixed share of the hash space first, and among them rare ones, as counted over all sets; so
+only that share is counted, most lists have one member, and common passages are hardly ever listed.
 
-Lists are never expanded into pairs. Round by round, sets of a list that aren't connected yet are compared with one
-member of it, another one each time, and verified on whole sets. What is still apart after that is settled by what each set differs in
-from the list's lead (``_by_differences``), with a 1024-bit parity sketch before whole sets are compared.
+Lists are never expanded into all pairs. First every set of a list is compared with one member, the one with fewest n-grams
+of its own, which mostly is the text that the others were copied from. Then sets outside a list's largest component so far are
+joined with its members in other components. Length, place in the order and a 512-bit parity sketch decide within the join
+which pairs are compared as whole sets; the bounds are exact, so no link is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import free_name, small_batches, stored, text_of
+from quire.llm.common import BROADCAST_ROWS, drop, free_name, pieces, stored, text_of
 
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_BITS = 1024
-#: Turns at most in which whole sets are compared, and pairs from which another turn pays.
-SLICES, SLICE_ROWS = 8, 5_000
+_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+#: 64-bit words of a sketch.
+_WORDS = 8
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -71,25 +72,26 @@ def least_common(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def prefix(n: int, percent: int) -> int:
+    """So many first elements of a set of n meet those of any set it links with, in any order that both share."""
+    return n + percent * n // -100 + 1
+
+
 @lru_cache(maxsize=8)
-def plan(percent: int, verify_cost: int = 8) -> tuple[int, dict[int, list[int]]]:
-    """The largest light size, and for each light size the numbers of elements that its subsets leave out.
+def plan(percent: int, verify_cost: int = 8) -> tuple[int, dict[int, list[tuple[int, int, int]]]]:
+    """The largest light size, and for each light size what its subsets are enumerated for: smaller size, larger size, elements shared.
 
     A size is light while its subsets cost no more than ``verify_cost`` times its list entries: a subset
-    is one row and needs no false candidate looked at.
+    is one row and needs no candidate looked at.
     """
-    drops: dict[int, list[int]] = {}
-    size = 1
-    while size < 64:
-        partners = [m for m in range(1, 2 * size + 2) if 100 * min(m, size) >= percent * max(m, size)]
-        own = sorted({size - c for m in partners if (c := least_common(size, m, percent)) <= min(size, m)})
-        subsets = sum(_choose(size, d) for d in own)
-        blocks = 2 * (2 * size - 2 * least_common(size, size, percent) + 1)
-        if subsets > verify_cost * max(2, blocks):
-            break
-        drops[size] = own
-        size += 1
-    return size - 1, drops
+    def asked(size: int) -> list[tuple[int, int, int]]:
+        sizes = [m for m in range(1, 2 * size + 2) if 100 * min(m, size) >= percent * max(m, size)]
+        return [(min(m, size), max(m, size), c) for m in sizes if (c := least_common(size, m, percent)) <= min(size, m)]
+
+    light = 0
+    while light < 63 and sum(_choose(light + 1, light + 1 - c) for _, _, c in asked(light + 1)) <= verify_cost * max(2, prefix(light + 1, percent)):
+        light += 1
+    return light, {s: [x for x in asked(s) if x[1] <= light] for s in range(1, light + 1)}
 
 
 def _choose(n: int, k: int) -> int:
@@ -99,51 +101,46 @@ def _choose(n: int, k: int) -> int:
     return out
 
 
-def _bands(size: int, first: int, percent: int) -> list[tuple[int, int]]:
-    """The bands by which a set of this size meets others, each with its number of blocks: its own, and the next if that holds sizes it may link with.
+def subsets(s: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """128-bit names of a light set's subsets, each with the sizes that it is for; odd where these differ."""
+    asked = plan(percent)[1].get(len(s), [])
+    out: set[tuple[int, int]] = set()
+    with np.errstate(over="ignore"):
+        for low, high, c in asked:
+            names = []
+            for factor in (_M1, _M3):
+                m = _mix(s * factor + factor)
+                d = len(s) - c
+                left = [np.uint64(0)] if d == 0 else list(m) if d == 1 else [sum(x, np.uint64(0)) for x in combinations(m, d)]
+                names.append(_mix((m.sum(dtype=np.uint64) - np.array(left, np.uint64)) ^ np.uint64(low << 32 | high << 16 | c)))
+            first = names[0] & ~np.uint64(1) | np.uint64(low != high)
+            out.update(zip(first.view(np.int64).tolist(), names[1].view(np.int64).tolist()))
+    return sorted(out)
 
-    A band spans two steps of the threshold, so that about half of all sets are listed once.
-    """
-    k, low = 0, first
-    while True:
-        high = (100 * low // percent + 1) * 100 // percent + 1
-        if size < high:
-            break
-        k, low = k + 1, high
-    blocks = lambda high: 2 * (high - 1) - 2 * least_common(high - 1, high - 1, percent) + 2
-    out = [(k, blocks(high))]
-    if 100 * size >= percent * high:
-        out.append((k + 1, blocks((100 * high // percent + 1) * 100 // percent + 1)))
-    return out
+
+def counted_share(percent: int) -> float:
+    """The share of the hash space that comes first in the order: sets reach 2.5 times their prefix with it, on average."""
+    share = 2.5 * (100 - percent) / 100
+    return share if share <= 0.5 else 1.0
 
 
-def keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """What a set is listed under: its subsets if it is light, its blocks if it may meet a heavy one."""
+def head(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The elements that may be in the set's prefix, and how many of them lie in the share that is counted; of a set that meets no heavy one, none.
+
+    Elements beyond that share come last in the order, by hash, and are needed only where the others don't fill the prefix.
+    """
     n = len(s)
-    if not n:
-        return np.empty(0, np.int64)
-    light, drops = plan(percent)
-    out: list[np.ndarray] = []
-    with np.errstate(over="ignore"):
-        m = _mix(s + _M1)
-        if n <= light:
-            total = m.sum(dtype=np.uint64)
-            for d in drops[n]:
-                left = [np.uint64(0)] if d == 0 else list(m) if d == 1 else [sum(c, np.uint64(0)) for c in combinations(m, d)]
-                out.append(_mix((total - np.array(left, np.uint64)) ^ np.uint64(n - d)))
-        first = max(1, percent * (light + 1) // 100)
-        if n >= first:
-            for band, blocks in _bands(n, first, percent):
-                part = ((s >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
-                sums = np.zeros(blocks, np.uint64)
-                np.add.at(sums, part, m)
-                out.append(_mix(_mix(sums) + np.arange(blocks, dtype=np.uint64) * _M2 + np.uint64(1000 + band)))
-    return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
-
-
-def sketch(s: np.ndarray) -> bytes:
+    if not n or 100 * n < percent * (plan(percent)[0] + 1):
+        return s[:0], 0
+    share = counted_share(percent)
+    inside = n if share == 1.0 else int(np.searchsorted(s, np.uint64(int(share * 2**64))))
+    return s[: max(inside, min(n, prefix(n, percent)))], inside
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
     """Each bit is the parity of the elements it stands for, so sketches differ in no more bits than the sets in elements."""
-    return np.packbits(np.bincount((s % np.uint64(_BITS)).astype(np.int64), minlength=_BITS) & 1).astype(np.uint8).tobytes()
+    bits = np.bincount((s % np.uint64(64 * _WORDS)).astype(np.int64), minlength=64 * _WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -151,168 +148,126 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _set_id(s: np.ndarray) -> int:
-    h = xxhash.xxh3_64_intdigest(s.tobytes())
-    return h - (1 << 64) if h >> 63 else h
+def _may_link(percent: int, a: str, b: str) -> Column:
+    """Whether sets may link that meet in a list at places ``pos`` of the order: by sizes, by what is left after the places, by sketches."""
+    both = f"({a}.n + {b}.n)"
+    need = f"(({percent} * {both} + {99 + percent}) div {100 + percent})"
+    differ = " + ".join(f"bit_count({a}.b{i} ^ {b}.b{i})" for i in range(_WORDS))
+    return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {need} and {differ} <= {both} - 2 * {need}")
 
 
-def components(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", rounds: int = 4) -> DataFrame:
-    """(key, n_shingles, component_id) of every row: rows link when their sets' Jaccard similarity is at least ``percent`` hundredths.
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    component_id is the least key reachable by links. Null, empty and blank texts have no set and link with nothing; a row whose key is null
-    takes part, but gives no name (a component of such rows alone is null). Repeated rows and keys stay. Sets are named by 64-bit hashes.
-    """
-    spark = df.sparkSession
-    small_batches(spark, 2048, "4m")
+
+def _named(df: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
+    """(key, d1, d2, n, part) of every row: digests of its text, the size of its set, and what names its component (null without a set)."""
+    rows = df.select(F.col(key).alias("key"), text_of(text).alias("text")).select("key", "text", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2"))
 
     def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t, n) for t in b[1].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b[0], pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([keys(s, percent) for s in sets], pa.list_(pa.int64()))], names=["key", "n", "sid", "keys"])
-
-    rows = df.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
-    docs = stored(rows.mapInArrow(listing, "key long, n long, sid long, keys array<long>"), "sets")
-    listed = docs.filter("sid is not null").select("sid", F.explode("keys").alias("k"))
-    # counts first, which are small to shuffle; copies of one set are told from different sets after that
-    often = listed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
-    several = stored(listed.join(often, "k", "left_semi").distinct(), "several")
-    shared = several.groupBy("k").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).filter("a <> b").select("k")
-    members = stored(several.join(shared, "k", "left_semi"), "members")
-    involved = members.select("sid").distinct()
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t, n) for t in b[0].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64()), b[0]], names=["sid", "text"])
+        for b in pieces(batches):
+            sets = [shingles(t, n) for t in b["text"].to_pylist()]
+            heads = [head(s, percent) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b["key"], b["d1"], b["d2"], pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([[{"k1": x, "k2": y} for x, y in subsets(s, percent)] for s in sets], pa.list_(pa.struct([("k1", pa.int64()), ("k2", pa.int64())]))),
+                    pa.array([h.view(np.int64) for h, _ in heads], pa.list_(pa.int64())), pa.array([i for _, i in heads], pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())),
+                ],
+                names=["key", "d1", "d2", "n", "sid", "subsets", "es", "inside", "bits"],
+            )
+
+    kind = rows.schema["key"].dataType.simpleString()
+    found = rows.mapInArrow(listing, f"key {kind}, d1 long, d2 long, n long, sid binary, subsets array<struct<k1:long,k2:long>>, es array<long>, inside long, bits array<long>")
+    docs = stored(found.withColumn("id", F.monotonically_increasing_id()), "sets")
+    # of equal sets one goes on
+    firsts = stored(docs.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("id")), "firsts")
+    own = _small(firsts.select("id"))
+
+    light = docs.filter(F.size("subsets") > 0).join(own, "id", "left_semi").select("id", "n", F.explode("subsets").alias("k")).select("id", "n", "k.*")
+    met = light.groupBy("k1", "k2").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.min("n").alias("low"), F.max("n").alias("high"))
+    met = met.filter("lead <> last and (k1 % 2 = 0 or low <> high)").select("k1", "k2", "lead")
+    edges = stored(light.join(met, ["k1", "k2"]).filter("id <> lead").select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct(), "light")
+
+    entries = _entries(docs, own, percent)
+    pairs = stored(_with_hubs(entries, percent), "pairs")
+    more = _verified(pairs, rows, docs, n, percent)
+    parts = connected(edges.unionByName(more))
+    rest = stored(_across(entries, parts, percent), "pairs")
+    last = _verified(rest, rows, docs, n, percent)
+    drop(entries, pairs, rest)
+    if not last.isEmpty():
+        parts = connected(parts.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(last))
+    # a component is named by the set of its root
+    roots = parts.join(firsts.select(F.col("id").alias("root"), F.col("sid").alias("part")), "root").select(F.col("node").alias("id"), "part")
+    parts = stored(firsts.join(roots, "id").select("sid", "part"), "parts")
+    return docs.select("key", "d1", "d2", "n", "sid").join(parts, "sid", "left").select("key", "d1", "d2", "n", F.coalesce("part", "sid").alias("part"))
+
+
+def _entries(docs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """The inverted lists, as rows (e, id, n, own, pos, b0...): prefix elements that more than one set has; own: counted elements that no other has."""
+    sets = docs.filter(F.size("es") > 0).join(own, "id", "left_semi")
+    elements = sets.select("id", "n", "inside", F.explode("es").alias("e"))
+    seen = elements.groupBy("e").agg(F.count("*").alias("f")).filter("f > 1")
+    share = counted_share(percent)
+    counted = F.lit(True) if share == 1.0 else F.col("e").between(0, int(share * 2**64) - 1)
+    shared = elements.join(seen, "e").withColumn("f", F.when(counted, F.col("f")).otherwise(0))
+    mine = shared.groupBy("id", "n", "inside").agg(F.array_sort(F.collect_list(F.when(F.col("f") > 0, F.struct("f", "e")))).alias("l"), F.collect_list(F.when(F.col("f") == 0, F.col("e"))).alias("beyond"))
+    mine = mine.withColumn("own", F.col("inside") - F.size("l"))
+    length = F.expr(f"cast(greatest(0, n + ({percent} * n) div -100 + 1 - own) as int)")
+    near = F.transform(F.slice("l", F.lit(1), length), lambda x, i: F.struct(x["e"].alias("e"), (F.col("own") + i).alias("pos")))
+    # the place of an element beyond is after all counted ones, at least
+    far = F.transform("beyond", lambda e: F.struct(e.alias("e"), F.col("inside").alias("pos")))
+    listed = mine.select("id", "n", "own", F.explode(F.concat(near, far)).alias("x")).select("id", "n", "own", "x.*")
+    several = listed.groupBy("e").agg(F.count("*").alias("m")).filter("m > 1").select("e")
+    listed = stored(listed.join(several, "e"), "listed")
+    bits = docs.select("id", *[F.col("bits")[i].alias(f"b{i}") for i in range(_WORDS)])
+    out = stored(listed.join(bits, "id"), "entries")
+    drop(listed)
+    return out
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t, n) for t in b[1].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b[0], pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], names=["sid", "set", "n", "bits"])
-
-    texts = rows.select("text").mapInArrow(again, "sid long, text string").join(involved, "sid", "left_semi").dropDuplicates(["sid"])
-    sets = stored(texts.select("sid", "text").mapInArrow(whole, "sid long, set binary, n long, bits binary"), "whole")
-
-    labels = stored(involved.select("sid", F.col("sid").alias("part")), "labels")
-    for turn in range(rounds):
-        own = members.join(labels, "sid")
-        # sid ^ k ^ salt orders the sets of a list anew each time, and gives the set back
-        salted = F.col("sid").bitwiseXOR(F.col("k")).bitwiseXOR(F.lit(turn * 0x2545F4914F6CDD1D))
-        mixed = own.groupBy("k").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min(salted).alias("x")).filter("p <> q")
-        leads = mixed.select("k", F.col("x").bitwiseXOR(F.col("k")).bitwiseXOR(F.lit(turn * 0x2545F4914F6CDD1D)).alias("lead"))
-        leads = leads.join(labels.select(F.col("sid").alias("lead"), F.col("part").alias("lead_part")), "lead")
-        met = own.join(leads, "k").filter("part <> lead_part")
-        # one comparison a set and turn
-        pairs = met.groupBy("sid").agg(F.min(F.struct(F.xxhash64("k", F.lit(turn)), "lead")).alias("m")).select("sid", F.col("m.lead").alias("other"))
-        links = _in_turns(stored(pairs, "pairs"), sets, percent)
-        if links.isEmpty():
-            continue
-        labels = _joined(labels, links)
-    own = members.join(labels, "sid")
-    mixed = own.groupBy("k").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("k")
-    left = stored(own.join(mixed, "k", "left_semi"), "left")
-    # the set in most lists leads them, so that a family of near copies mostly has one lead
-    weight = left.groupBy("sid").agg(F.count("*").alias("lists"))
-    leads = left.join(weight, "sid").groupBy("k").agg(F.max(F.struct("lists", "sid")).alias("m")).select("k", F.col("m.sid").alias("lead"))
-    rest = stored(left.join(leads, "k").select("lead", "sid", "part").distinct(), "rest")
-    if not rest.isEmpty():
-        # lists of one lead stay together; in turns, so that whole sets are shuffled for a part of them at a time
-        turns = min(SLICES, 1 + rest.count() // SLICE_ROWS)
-        found = [stored(_by_differences(rest.filter(F.pmod(F.xxhash64("lead"), F.lit(turns)) == i), sets, percent), "links") for i in range(turns)]
-        links = reduce(DataFrame.unionByName, found).distinct()
-        if not links.isEmpty():
-            labels = _joined(labels, links)
-    named = docs.select("key", "n", "sid").join(labels, "sid", "left").select("key", "n", "sid", F.coalesce("part", "sid").alias("part"))
-    least = named.filter("part is not null").groupBy("part").agg(F.min("key").alias("least"))
-    out = named.join(least, "part", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("key")).otherwise(F.col("least")).alias("component_id"))
 
+def _with_hubs(entries: DataFrame, percent: int) -> DataFrame:
+    """(u, v): each set with the hub of one of its lists, if the two may link. A list's hub has the fewest elements of its own."""
+    hub = ["own", "id", "n", "pos", *[f"b{i}" for i in range(_WORDS)]]
+    hubs = entries.groupBy("e").agg(F.min(F.struct(*hub)).alias("h")).select(F.col("e").alias("e_"), "h.*")
+    met = entries.alias("x").join(hubs.alias("y"), F.expr("x.e = y.e_ and x.id <> y.id") & _may_link(percent, "x", "y"))
+    return met.groupBy(F.col("x.id").alias("u")).agg(F.min_by(F.col("y.id"), F.xxhash64("x.e", "y.id")).alias("v"))
 
-def _by_differences(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that join all sets of a list which link at all, from what each differs in from the list's lead.
 
-    rest: (lead, sid, part). With n elements, d of them or of the lead's not shared, let w = (100 - percent) n - (100 + percent) d. Sets i and j
-    differ in d_i + d_j elements less twice those that their differences share, so they link if w_i + w_j >= 0, and then
-    both link with the set of greatest w: one comparison a set finds all of these. Other sets link only if their differences share
-    K >= -(w_i + w_j) / 2 (100 + percent) elements: inverted lists of the differences, rarest elements first and only as many
-    as K asks for, find those few.
-    """
-    up, down = 100 - percent, 100 + percent
-    members, leads = (rest.select(F.col(c).alias("sid")).distinct() for c in ("sid", "lead"))
-    theirs = sets.join(leads, "sid", "left_semi").select(F.col("sid").alias("lead"), F.col("set").alias("lead_set"))
-    ends = rest.join(sets.join(members, "sid", "left_semi").select("sid", "n", "bits", "set"), "sid").join(theirs, "lead")
+def _across(entries: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """(u, v): the pairs of lists that may link and aren't in one component yet."""
+    named = entries.join(parts.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root")
+    sizes = named.groupBy("e", "part").agg(F.count("*").alias("m"))
+    mixed = sizes.groupBy("e").agg(F.max(F.struct("m", "part")).alias("x"), F.count("*").alias("k")).filter("k > 1").select("e", F.col("x.part").alias("largest"))
+    left = stored(named.join(mixed, "e"), "mixed")
+    met = left.filter("part <> largest").alias("x").join(left.alias("y"), F.expr("x.e = y.e and x.part <> y.part") & _may_link(percent, "x", "y"))
+    return met.select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v")).distinct()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (u, v) that link; the sets of those concerned are made again from their texts."""
+    concerned = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    wanted = stored(docs.select("id", "d1", "d2").join(concerned, "id"), "wanted")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array([shingles(t, n).tobytes() for t in b["text"].to_pylist()], pa.binary())], names=["id", "set"])
+
+    texts = rows.select("d1", "d2", "text").join(_small(wanted), ["d1", "d2"]).select("id", "text").dropDuplicates(["id"])
+    sets = stored(texts.mapInArrow(whole, "id long, set binary"), "whole")
 
-    @F.arrow_udf("array<long>")
-    def differences(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for x, y in batches:
-            yield pa.array([np.setxor1d(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), assume_unique=True) for a, b in zip(x.to_pylist(), y.to_pylist())], pa.list_(pa.int64()))
-
-    own = ends.withColumn("es", differences(F.col("set"), F.col("lead_set"))).withColumn("d", F.size("es").cast("long")).withColumn("w", up * F.col("n") - down * F.col("d"))
-    own = stored(own.select("lead", "sid", "part", "n", "d", "w", "es", "bits"), "differences")
-    hubs = own.groupBy("lead").agg(F.max(F.struct("w", "sid", "part")).alias("hub"))
-    with_hub = own.join(hubs, "lead")
-    direct = with_hub.filter((F.col("w") + F.col("hub.w") >= 0) & (F.col("part") != F.col("hub.part"))).select("sid", F.col("hub.sid").alias("other"))
-    least = F.greatest(F.lit(1), F.ceil(-(F.col("w") + F.col("hub.w")) / (2 * down)))
-    entries = with_hub.select("lead", "sid", "part", "n", "d", "w", least.alias("least"), F.explode("es").alias("e"))
-    seen = entries.groupBy("lead", "e").agg(F.count("*").alias("f"))
-    ranked = entries.join(seen, ["lead", "e"]).withColumn("r", F.row_number().over(Window.partitionBy("lead", "sid").orderBy("f", "e")))
-    listed = stored(ranked.filter("f > 1 and r <= d - least + 1").select("lead", "e", "sid", "part", "n", "d", "w"), "listed")
-    a, b = (listed.select("lead", "e", *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "part", "n", "d", "w")]) for x in "ab")
-    close = (F.col("w_a") + F.col("w_b") + 2 * down * F.least("d_a", "d_b") >= 0) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    pairs = a.join(b, ["lead", "e"]).filter("part_a < part_b").filter(close).select(F.col("sid_a").alias("sid"), F.col("sid_b").alias("other"), "n_a", "n_b").distinct()
-    bits = sets.select("sid", "bits")
-    sketched = pairs.join(bits.withColumnRenamed("bits", "bits_a"), "sid").join(bits.select(F.col("sid").alias("other"), F.col("bits").alias("bits_b")), "other")
-    likely = sketched.filter(_may_link(percent)(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"))).select("sid", "other")
-    return direct.unionByName(_verified(stored(likely, "likely"), sets, percent)).distinct()
-
-
-def _may_link(percent: int):
-    @F.arrow_udf("boolean")
-    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for x, y, n, m in batches:
-            if not len(x):
-                yield pa.array([], pa.bool_())
-                continue
-            a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1) for c in (x, y))
-            differ = np.bitwise_count(a ^ b).sum(axis=1).astype(np.int64)
-            total = n.to_numpy(zero_copy_only=False) + m.to_numpy(zero_copy_only=False)
-            # the sets differ in at least ``differ`` elements, so share (total - differ) / 2 at most
-            yield pa.array((100 + percent) * (total - differ) >= 2 * percent * total)
-
-    return run
-
-
-def _in_turns(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link, found for a part of them at a time, so that not all sets are shuffled at once."""
-    turns = min(SLICES, 1 + pairs.count() // SLICE_ROWS)
-    parts = []
-    for i in range(turns):
-        part = pairs.filter(F.pmod(F.xxhash64("other"), F.lit(turns)) == i)
-        named = part.select("sid").union(part.select("other")).distinct()
-        parts.append(stored(_verified(part, sets.join(named, "sid", "left_semi"), percent), "links"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (sid, other) that link."""
     @F.arrow_udf("boolean")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for x, y in batches:
             yield pa.array([linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in zip(x.to_pylist(), y.to_pylist())], pa.bool_())
 
-    own = pairs.join(sets.select("sid", F.col("set").alias("set_a"), F.col("n").alias("n_a")), "sid")
-    both = own.join(sets.select(F.col("sid").alias("other"), F.col("set").alias("set_b"), F.col("n").alias("n_b")), "other")
-    fit = both.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return fit.filter(run(F.col("set_a"), F.col("set_b"))).select("sid", "other")
-
-
-def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after the parts at the ends of each link have become one, named by the least."""
-    a, b = labels.select("sid", F.col("part").alias("u")), labels.select(F.col("sid").alias("other"), F.col("part").alias("v"))
-    edges = links.join(a, "sid").join(b, "other").filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    edges = stored(edges, "edges")
-    merged = connected(edges)
-    return stored(labels.join(merged.select(F.col("node").alias("part"), "root"), "part", "left").select("sid", F.coalesce("root", "part").alias("part")), "labels")
+    one = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u")
+    both = one.join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v")
+    out = stored(both.filter(run(F.col("a"), F.col("b"))).select("u", "v"), "links")
+    drop(wanted, sets)
+    return out
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -320,7 +275,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Each step replaces edges by edges to least neighbours, with grouped minima and joins; none holds a component in one task.
     """
-    current = edges.filter("u <> v").select("u", "v").distinct()
+    current, before = edges.filter("u <> v").select("u", "v").distinct(), None
     while True:
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -331,15 +286,43 @@ def connected(edges: DataFrame) -> DataFrame:
         small = large.join(low, "a")
         after = small.select(F.col("b").alias("u"), F.col("m").alias("v")).unionByName(small.select(F.col("a").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
         after = stored(after, "stars")
+        if before is not None:
+            drop(before)
         # done once every node points straight at a root, and no root points on
         roots = after.select(F.col("v").alias("u")).distinct()
         many = after.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1")
         if many.isEmpty() and after.join(roots, "u", "left_semi").isEmpty():
             return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        current = after
+        current = before = after
+
+
+def components(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) of every row: rows link when their sets' Jaccard similarity is at least ``percent`` hundredths.
+
+    component_id is the least key reachable by links. Keys may be of any type that has an order. Null, empty and blank texts have no set and
+    link with nothing; a row whose key is null takes part, but gives no name (a component of such rows alone is null). Repeated rows and keys
+    stay; an empty table gives no rows; columns beyond key and text are ignored. Very long texts are sets like others.
+    """
+    named = _named(df, n, percent, key, text)
+    least = named.filter("part is not null").groupBy("part").agg(F.min("key").alias("least"))
+    return named.join(least, "part", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("part").isNull(), F.col("key")).otherwise(F.col("least")).alias("component_id"))
 
 
 def one_of_each(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows less all but one of each component: those stay whose key is the component's least; of repeated keys, all."""
-    named = components(df, n, percent, key, text).filter(F.col("component_id") == F.col(key)).select(F.col(key).alias(free_name(df, "quire_kept"))).distinct()
-    return df.join(named, df[key] == named[named.columns[0]], "left_semi")
+    """The rows less all but one of each component: the one of least key (null last), and of equal keys one text by digest.
+
+    Rows without a set (null and blank texts) all stay, whatever their keys. Other columns stay as they are; an empty table stays empty. Of rows that repeat key and
+    text exactly one is taken, whichever.
+    """
+    named = _named(df, n, percent, key, text).withColumn("nokey", F.col("key").isNull())
+    mark = ["nokey", "key", "d1", "d2"]
+    counts = named.filter("part is not null").groupBy("part", *mark).agg(F.count("*").alias("times"))
+    kept = stored(counts.groupBy("part").agg(F.min(F.struct(*mark, "times")).alias("x")).select("x.*"), "kept")
+    d1, d2 = free_name(df, "quire_d1"), free_name(df, "quire_d2")
+    marked = df.withColumn(d1, F.xxhash64(text_of(text))).withColumn(d2, F.xxhash64(F.lit(1), text_of(text)))
+    blank = ~F.rlike(text_of(text), F.lit(r"[^ \t-\r]"))
+    fits = lambda k: (marked[d1] == k["d1"]) & (marked[d2] == k["d2"]) & marked[key].eqNullSafe(k["key"])
+    single, several = kept.filter("times = 1"), kept.filter("times > 1")
+    out = marked.filter(blank).unionByName(marked.filter(~blank).join(single, fits(single), "left_semi"))
+    again = marked.filter(~blank).join(several, fits(several), "left_semi").dropDuplicates([key, d1, d2])
+    return out.unionByName(again).drop(d1, d2)

@@ -168,18 +168,50 @@ def near_rows():
     return rows + [(2000, None), (2001, ""), (2002, " \n "), (2003, "A"), (2004, "a")]
 
 
-@pytest.mark.parametrize("n,percent,rounds", [(3, 90, 4), (5, 80, 0)])
-def test_components_equal_brute_force(spark, monkeypatch, n, percent, rounds):
-    monkeypatch.setattr(simjoin, "SLICE_ROWS", 5_000 if rounds else 300)  # several turns in the second case
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80), (2, 75)])
+def test_components_equal_brute_force(spark, n, percent):
     rows = near_rows()
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in simjoin.components(spark.createDataFrame(rows, "doc_id long, text string"), n, percent, rounds=rounds).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in simjoin.components(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()}
     assert got == brute_components(rows, n, percent)
 
 
+def test_a_large_family_of_near_copies(spark):
+    # one text with a few words changed at random, a common passage that most texts hold, and copies of copies that link in chains
+    r = random.Random(11)
+    base, passage = [f"b{k}" for k in range(60)], [f"p{k}" for k in range(40)]
+    rows = []
+    for i in range(700):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            w[r.randrange(60)] = f"x{r.randrange(50)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(passage + [f"u{i}v{k}" for k in range(r.choice([2, 10, 40, 60]))])) for i in range(200)]
+    rows += [(2000 + i, " ".join(f"c{k}" for k in range(i, i + 80))) for i in range(60)]
+    for n, percent in ((3, 90), (5, 80)):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in simjoin.components(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()}
+        assert got == brute_components(rows, n, percent)
+
+
+def test_prefixes_of_linked_sets_meet():
+    r = random.Random(12)
+    for percent in (80, 90, 95):
+        for _ in range(300):
+            n = r.randint(10, 300)
+            a = {r.getrandbits(64) for _ in range(n)}
+            b = set(r.sample(sorted(a), n - r.randint(0, max(1, n * (100 - percent) // 150)))) | {r.getrandbits(64) for _ in range(r.randint(0, 3))}
+            x, y = (simjoin.np.array(sorted(s), simjoin.np.uint64) for s in (a, b))
+            if simjoin.linked(x, y, percent) and min(n, len(b)) > simjoin.plan(percent)[0]:
+                tops = [simjoin.head(s, percent)[0][: simjoin.prefix(len(s), percent)] for s in (x, y)]
+                assert set(tops[0].tolist()) & set(tops[1].tolist())
+
+
 def test_one_of_each_and_edges(spark):
-    df = spark.createDataFrame([(3, "a b c", 1), (1, "a b c", 1), (1, "a b c", 2), (5, None, 1), (6, None, 1), (None, "a b c", 1)], "doc_id long, text string, part int")
-    assert sorted(r.doc_id for r in simjoin.one_of_each(df).collect()) == [1, 1, 5, 6]
-    assert simjoin.components(df.limit(0)).count() == 0
+    df = spark.createDataFrame([(3, "a b c", 1), (1, "a b c", 1), (1, "a b c", 1), (5, None, 1), (6, None, 1), (6, None, 1), (None, "a b c", 1), (None, "only one", 1), (None, "only one", 2), (8, "A  b c", 1)], "doc_id long, text string, part int")
+    assert sorted(((r.doc_id or -1, r.text) for r in simjoin.one_of_each(df).collect()), key=str) == sorted([(1, "a b c"), (5, None), (6, None), (6, None), (-1, "only one")], key=str)
+    assert simjoin.one_of_each(df).columns == df.columns
+    assert simjoin.components(df.limit(0)).count() == 0 and simjoin.one_of_each(df.limit(0)).count() == 0
+    named = spark.createDataFrame([("b", "a b c", 1), ("a", "a b c", 1)], "doc_id string, text string, id int")
+    assert {r.component_id for r in simjoin.components(named).collect()} == {"a"}
 
 
 def test_connected(spark):
