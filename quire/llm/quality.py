@@ -1,7 +1,8 @@
 """Quality by hierarchical empirical Bayes.
 
-A document's own evidence is the log likelihood ratio of a naive Bayes classifier over few, significant features, one
-for poor quality and one for toxicity. The prior isn't the same everywhere: each host's rate of
+A document's own evidence is the log likelihood ratio of a naive Bayes classifier over all its significant features, one
+for poor quality and one for toxicity. Features overlap, so what speaks for a label and what speaks against it are
+scaled by two factors each, fitted by logistic regression across two halves of the sample. The prior isn't the same everywhere: each host's rate of
 poor documents is estimated from all its documents and shrunk towards the global rate, each path's (a part of a host)
 towards its host's, the more the fewer documents there are; how strongly, the spread between hosts and paths says.
 Posterior log odds = evidence + log odds of the shrunken rate.
@@ -15,12 +16,13 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import free_name, small_batches, stored, text_of
+from quire.llm.common import drop, free_name, stored, text_of
 
 _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LABELS = ("poor", "toxic")
@@ -76,10 +78,11 @@ def _step(x: float) -> str:
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of each label's features, and the bias that stands for the sample's rate."""
+    """Weights of each label's features, the sample's rates, and for each label what is added to and multiplies the sums of negative and positive weights."""
 
     weights: dict[str, tuple[float, float]]
     rate: tuple[float, float]
+    scale: tuple[tuple[float, float, float], ...] = ((0.0, 1.0, 1.0), (0.0, 1.0, 1.0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min_z: float = 5.0, text: str = "text", key: str = "doc_id") -> Model:
@@ -88,7 +91,6 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min_z: float
     labels: ``key``, quality (0 is poor), toxic (1 is toxic). A feature is kept if the likelihood ratio test finds it
     ``min_z`` standard deviations from chance. Null keys and labels are left out; near copies count once; without labels nothing is evidence.
     """
-    small_batches(docs.sparkSession)
     marks = labels.select(F.col(key).alias("k"), (F.col("quality") == 0).cast("int").alias("poor"), (F.col("toxic") == 1).cast("int").alias("toxic")).dropna()
     n = marks.count()
     few = F.lit(True) if n <= fit_rows else F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n)
@@ -110,34 +112,69 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min_z: float
     rows = rows.withColumn("place", F.row_number().over(alone)).withColumn("lead", F.first("sketch").over(alone))
     rows = rows.withColumn("copy", alike(F.col("sketch"), F.col("lead"))).filter("place = 1 or not copy")
 
+    rows = stored(rows.select("text", "poor", "toxic", F.pmod(F.xxhash64("k", F.lit(2)), F.lit(2)).cast("int").alias("half")), "sample")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[tuple[str, int, int]] = Counter()
+        total: Counter[tuple[str, int, int, int]] = Counter()
         for b in batches:
-            for t, p, x in zip(b["text"].to_pylist(), b["poor"].to_pylist(), b["toxic"].to_pylist()):
-                total[("", p, x)] += 1
+            for t, p, x, h in zip(*(b[c].to_pylist() for c in ("text", "poor", "toxic", "half"))):
+                total[("", p, x, h)] += 1
                 for f in features(t):
-                    total[(f, p, x)] += 1
+                    total[(f, p, x, h)] += 1
             if len(total) > 200_000:
                 yield _table(total)
                 total.clear()
         yield _table(total)
 
-    counts = rows.select("text", "poor", "toxic").mapInArrow(run, "feature string, poor int, toxic int, n long").groupBy("feature").agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.col("poor") == 1, F.col("n")).otherwise(0)).alias("poor"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic")
-    )
-    counts = stored(counts, "counts")
+    sums = [F.sum(F.when(F.col("half") == h, F.col("n") if x is None else F.when(F.col(x) == 1, F.col("n")).otherwise(0)).otherwise(0)).alias(f"{x or 'n'}{h}") for h in (0, 1) for x in (None, *LABELS)]
+    counts = stored(rows.mapInArrow(run, "feature string, poor int, toxic int, half int, n long").groupBy("feature").agg(*sums), "counts")
     total = counts.filter("feature = ''").first()
     if total is None:
+        drop(rows, counts)
         return Model({}, (0.05, 0.05))
-    # a feature of fewer documents can't reach min_z; the sample bounds what comes to the driver
-    least = least_count([getattr(total, x) for x in LABELS], total.n, min_z)
-    found = {r.feature: r for r in counts.filter(F.col("n") >= least).filter("feature <> ''").collect()}
-    weights = {}
-    for f, r in found.items():
-        w = tuple(_weight(getattr(r, x), r.n, getattr(total, x), total.n, min_z) for x in LABELS)
-        if any(w):
-            weights[f] = w
-    return Model(weights, tuple((getattr(total, x) + 0.5) / (total.n + 1) for x in LABELS))
+    add = lambda r, x, halves: sum(r[f"{x}{h}"] for h in halves)
+    # a feature of fewer documents can't reach min_z in any of the fits; the sample bounds what comes to the driver
+    fits = ((0,), (1,), (0, 1))
+    least = min(least_count([add(total, x, halves) for x in LABELS], add(total, "n", halves), min_z) for halves in fits)
+    found = {r.feature: r for r in counts.filter(F.col("n0") + F.col("n1") >= least).filter("feature <> ''").collect()}
+
+    def weights(halves: tuple[int, ...]) -> dict[str, tuple[float, float]]:
+        out = {f: tuple(_weight(add(r, x, halves), add(r, "n", halves), add(total, x, halves), add(total, "n", halves), min_z) for x in LABELS) for f, r in found.items()}
+        return {f: w for f, w in out.items() if any(w)}
+
+    crossed = docs.sparkSession.sparkContext.broadcast((weights((1,)), weights((0,))))
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [_sums(t, crossed.value[h]) for t, h in zip(b["text"].to_pylist(), b["half"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([b["poor"], b["toxic"], pa.array(got, pa.list_(pa.float64()))], names=["poor", "toxic", "sums"])
+
+    told = rows.mapInArrow(judged, "poor int, toxic int, sums array<double>").collect()
+    drop(rows, counts)
+    rate = tuple((add(total, x, (0, 1)) + 0.5) / (add(total, "n", (0, 1)) + 1) for x in LABELS)
+    scale = tuple(calibrated([r.sums[2 * i : 2 * i + 2] for r in told], [r[x] for r in told], rate[i]) for i, x in enumerate(LABELS))
+    return Model(weights((0, 1)), rate, scale)
+
+
+def calibrated(sums: list[list[float]], bad: list[int], rate: float) -> tuple[float, float, float]:
+    """What is added, and the factors of the sums of negative and positive weights, that fit the labels best: a little-ridged logistic regression, by Newton steps.
+
+    Factors stay between 0 and 1.5. With fewer than ten rows of either kind, sums count as they are.
+    """
+    y = np.array(bad, float)
+    if min(y.sum(), len(y) - y.sum()) < 10:
+        return 0.0, 1.0, 1.0
+    x = np.column_stack([np.ones(len(y)), np.array(sums, float)])
+    base = math.log(rate / (1 - rate))
+    b = np.array([0.0, 0.5, 0.5])
+    ridge, towards = np.diag([0.01, 1.0, 1.0]), np.array([0.0, 0.5, 0.5])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(base + x @ b, -30, 30)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ (b - towards))
+        b = b + np.clip(step, -1, 1)
+        if abs(step).max() < 1e-9:
+            break
+    return float(b[0]), *(float(v) for v in np.clip(b[1:], 0.0, 1.5))
 
 
 def least_count(bad: list[int], n: int, min_z: float) -> int:
@@ -161,27 +198,26 @@ def _weight(bad: int, n: int, all_bad: int, all_n: int, min_z: float) -> float:
 
 
 def _table(total: Counter) -> pa.RecordBatch:
-    f, p, x = zip(*total) if total else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(p, pa.int32()), pa.array(x, pa.int32()), pa.array(list(total.values()), pa.int64())], names=["feature", "poor", "toxic", "n"])
+    f, p, x, h = zip(*total) if total else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(f, pa.string()), *[pa.array(c, pa.int32()) for c in (p, x, h)], pa.array(list(total.values()), pa.int64())], names=["feature", "poor", "toxic", "half", "n"])
+
+
+def _sums(text: str | None, weights: dict[str, tuple[float, float]]) -> list[float]:
+    """For each label the sums of the text's negative and of its positive weights."""
+    hit = [weights[f] for f in features(text or "") if f in weights]
+    return [math.fsum(h[i] for h in hit if (h[i] > 0) == up) for i in range(len(LABELS)) for up in (False, True)]
 
 
 def evidence(df: DataFrame, model: Model, text: str = "text", out: str = "evidence") -> DataFrame:
-    """Adds each text's log likelihood ratios; null counts as empty."""
-    small_batches(df.sparkSession)
-    held = df.sparkSession.sparkContext.broadcast(model.weights)  # no larger than the fitting sample makes it
+    """Adds each text's log likelihood ratios, of all significant features; null counts as empty."""
+    held = df.sparkSession.sparkContext.broadcast((model.weights, model.scale))  # no larger than the fitting sample makes it
 
     @F.arrow_udf("struct<poor:double,toxic:double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        weights = held.value
+        weights, scale = held.value
         for batch in batches:
-            sums: tuple[list[float], list[float]] = ([], [])
-            for t in batch.to_pylist():
-                hit = [weights[f] for f in features(t or "") if f in weights]
-                # features overlap, so the strongest two each way speak for all
-                for i in (0, 1):
-                    w = sorted(h[i] for h in hit)
-                    sums[i].append(sum(x for x in w[:2] if x < 0) + sum(x for x in w[-2:] if x > 0))
-            yield pa.StructArray.from_arrays([pa.array(s, pa.float64()) for s in sums], ["poor", "toxic"])
+            sums = [_sums(t, weights) for t in batch.to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([c + a * s[2 * i] + b * s[2 * i + 1] for s in sums], pa.float64()) for i, (c, a, b) in enumerate(scale)], list(LABELS))
 
     return df.withColumn(out, run(text_of(text)))
 
@@ -221,19 +257,22 @@ def rates(scored: DataFrame, model: Model, host: str, path: str, evidence_: str
     return up.select("host", "path", *[((F.col(x) + k * F.col(f"host_{x}")) / (F.col("n") + k)).alias(f"rate_{x}") for x, (_, k) in zip(LABELS, of_paths)])
 
 
-def score(df: DataFrame, model: Model, host: str, path: str, text: str = "text", reject: float = 0.5) -> DataFrame:
+def score(df: DataFrame, model: Model, host: str, path: str, text: str = "text", reject: float = 0.5, carry_text: bool = True) -> DataFrame:
     """Adds p_poor, p_toxic (posterior) and keep: neither exceeds ``reject``. Columns of these names are replaced.
 
-    Every row is kept and scored, null and empty texts by what an empty text shows; an empty table stays empty.
+    Every row is kept and scored, null and empty texts by what an empty text shows; an empty table stays empty; repeated rows and other columns stay.
+    Texts are scored once: the rows are written with their evidence, and without ``carry_text`` without their texts.
     """
-    ev = free_name(df, "quire_evidence")
+    ev, h, p = (free_name(df, f"quire_{x}") for x in ("evidence", "host", "path"))
+    prior = {x: free_name(df, f"quire_{x}") for x in LABELS}
     scored = evidence(df, model, text, ev)
-    table = rates(scored, model, host, path, ev).select(F.col("host").alias("quire_host"), F.col("path").alias("quire_path"), *[F.col(f"rate_{x}").alias(f"quire_{x}") for x in LABELS])
+    scored = stored(scored if carry_text else scored.drop(text), "scored")
+    table = rates(scored, model, host, path, ev).select(F.col("host").alias(h), F.col("path").alias(p), *[F.col(f"rate_{x}").alias(prior[x]) for x in LABELS])
     table = stored(table, "rates")
     if table.count() <= BROADCAST_ROWS:
         table = F.broadcast(table)
-    joined = scored.join(table, scored[host].eqNullSafe(table["quire_host"]) & scored[path].eqNullSafe(table["quire_path"]), "left")
+    joined = scored.join(table, scored[host].eqNullSafe(table[h]) & scored[path].eqNullSafe(table[p]), "left")
     for x, r in zip(LABELS, model.rate):
-        prior = F.least(F.greatest(F.coalesce(F.col(f"quire_{x}"), F.lit(r)), F.lit(1e-6)), F.lit(1 - 1e-6))
-        joined = joined.withColumn(f"p_{x}", _sigmoid(F.col(f"{ev}.{x}") + _logit(prior)))
-    return joined.withColumn("keep", (F.col("p_poor") <= reject) & (F.col("p_toxic") <= reject)).drop(ev, "quire_host", "quire_path", *[f"quire_{x}" for x in LABELS])
+        of = F.least(F.greatest(F.coalesce(F.col(prior[x]), F.lit(r)), F.lit(1e-6)), F.lit(1 - 1e-6))
+        joined = joined.withColumn(f"p_{x}", _sigmoid(F.col(f"{ev}.{x}") + _logit(of)))
+    return joined.withColumn("keep", (F.col("p_poor") <= reject) & (F.col("p_toxic") <= reject)).drop(ev, h, p, *prior.values())

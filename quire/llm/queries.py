@@ -53,7 +53,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's posterior of being poor or toxic, with its source as host and its language as path, and whether it is kept."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
-    return quality.score(docs, model, "source", "lang").select("doc_id", "p_poor", "p_toxic", "keep")
+    return quality.score(docs, model, "source", "lang", carry_text=False).select("doc_id", "p_poor", "p_toxic", "keep")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
