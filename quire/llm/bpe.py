@@ -7,7 +7,7 @@ scanner; a text is cut for that before single spaces between characters that are
 which the pattern never joins.
 
 Long texts take tree concatenation instead: pieces of fixed length, cut
-anywhere, are encoded by different tasks, then joined two by two, level by level. A
+anywhere, are encoded by different tasks, then joined by others, level by level of a tree. A
 join encodes a window around the seam anew and doubles it until both sides agree on it
 (``join``). The result is that of encoding the whole text.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import free_name, small_batches, text_of
+from quire.llm.common import free_name, pieces, text_of
 
 #: The white space of the pre-tokenizer's pattern: Unicode's White_Space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -37,7 +37,7 @@ _SETTLED = 0x530
 #: Pre-tokens longer than this are not cached.
 _CACHED_CHARS = 64
 #: Characters of a piece; a text of more is encoded in pieces.
-PIECE_CHARS = 65_536
+PIECE_CHARS = 16_384
 
 
 def _scanner() -> re.Pattern:
@@ -84,10 +84,16 @@ class Cache(dict):
         return value
 
 
+def _shown() -> dict[int, int]:
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return dict(zip(plain, plain)) | {b: 256 + i for i, b in enumerate(rest)}
+
+
 class Encoder:
     """One tokenizer file, for one Python process."""
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 100_000):
         import json
 
         from tokenizers import Tokenizer
@@ -104,10 +110,8 @@ class Encoder:
         if any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec.get("added_tokens", ())):
             raise ValueError(f"{path} has added tokens that take their surroundings")
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(plain)]
         #: The printable stand-in of each byte in this kind of vocabulary.
-        self._shown = dict(zip(plain, plain)) | {b: 256 + i for i, b in enumerate(rest)}
+        self._shown = _shown()
         self._byte = {c: b for b, c in self._shown.items()}
         size = max(self.tokenizer.get_vocab(True).values()) + 1
         self.token_bytes = [b""] * size
@@ -167,7 +171,7 @@ class Encoder:
         if found is None:
             found = self.merge(piece.encode())
             if len(piece) <= _CACHED_CHARS:
-                if len(self._wide) >= 100_000:
+                if len(self._wide) >= 50_000:
                     self._wide.clear()
                 self._wide[piece] = found
         return found
@@ -287,11 +291,11 @@ def join_merges(enc: Encoder, left: bytes, right: bytes, window: int = 8) -> byt
         window *= 2
 
 
-def join_all(enc: Encoder, pieces: list[Piece]) -> Piece:
+def join_all(enc: Encoder, row: list[Piece]) -> Piece:
     """Joins neighbours two by two, level by level."""
-    while len(pieces) > 1:
-        pieces = [join(enc, *pieces[i : i + 2]) if i + 1 < len(pieces) else pieces[i] for i in range(0, len(pieces), 2)]
-    return pieces[0]
+    while len(row) > 1:
+        row = [join(enc, *row[i : i + 2]) if i + 1 < len(row) else row[i] for i in range(0, len(row), 2)]
+    return row[0]
 
 
 @lru_cache(maxsize=2)
@@ -307,7 +311,6 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids",
     each distinct text, in pieces over many tasks, so that one long text doesn't hold up a partition.
     The tokenizer's special strings inside texts become their special ids, as is its default.
     """
-    small_batches(df.sparkSession)
 
     @F.arrow_udf(T.BinaryType())
     def short(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -317,79 +320,92 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids",
 
     kept = [c for c in df.columns if c.lower() != ids.lower() or c == text]
     whole = df.select(*[F.col(f"`{c}`") for c in kept])
+    longest = whole.agg(F.max(F.length(text_of(text)))).first()[0] or 0
     is_long = F.coalesce(F.length(text_of(text)) > piece_chars, F.lit(False))
-    key = free_name(df, "quire_key")
     fast = whole.filter(~is_long).withColumn(ids, short(text_of(text)))
+    if longest <= piece_chars:
+        return fast
+    key, got = free_name(df, "quire_key"), free_name(df, "quire_ids")
     slow = whole.filter(is_long).withColumn(key, F.sha2(text_of(text), 256))
-    done = encode_long(slow.select(F.col(key).alias("key"), text_of(text).alias("text")).dropDuplicates(["key"]), tokenizer, piece_chars)
-    slow = slow.join(done.withColumnRenamed("key", key).withColumnRenamed("ids", "quire_ids__"), key).withColumn(ids, F.col("quire_ids__")).drop(key, "quire_ids__")
+    done = encode_long(slow.select(F.col(key).alias("key"), text_of(text).alias("text")).dropDuplicates(["key"]), tokenizer, longest, piece_chars)
+    slow = slow.join(done.withColumnRenamed("key", key).withColumnRenamed("ids", got), key).withColumn(ids, F.col(got)).drop(key, got)
     return fast.unionByName(slow.select(*fast.columns))
 
 
-def encode_long(df: DataFrame, tokenizer: str, piece_chars: int = PIECE_CHARS) -> DataFrame:
-    """(key, text) with one row a key -> (key, ids), by tree concatenation."""
-    cut = df.select("key", F.explode(_cutter(tokenizer, piece_chars)("text")).alias("part")).select("key", "part.*")
-    # by key and number, so that the pieces of one text go to many tasks
-    spread = cut.repartition(F.col("key"), F.col("no"))
+#: Pieces that one task joins to one, at each level of the tree.
+FAN = 8
+_PIECE = "key string, run int, no int, special boolean, text string, starts binary, before binary, ids binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        for b in batches:
-            out = {"starts": [], "before": [], "ids": []}
-            for text, special in zip(b["text"].to_pylist(), b["special"].to_pylist()):
-                p = Piece(text, np.array([0]), np.array([0, 1]), _packed([enc.specials[text]])) if special else enc.encode_piece(text)
-                out["starts"].append(p.starts.astype("<i4").tobytes())
-                out["before"].append(p.before.astype("<i4").tobytes())
-                out["ids"].append(p.ids)
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("key", "no", "special", "text")), *(pa.array(v, pa.binary()) for v in out.values())], names=["key", "no", "special", "text", *out])
 
-    pieces = spread.mapInArrow(run, "key string, no int, special boolean, text string, starts binary, before binary, ids binary")
+def encode_long(df: DataFrame, tokenizer: str, longest: int, piece_chars: int = PIECE_CHARS) -> DataFrame:
+    """(key, text) with one row a key, of ``longest`` characters at most -> (key, ids), by tree concatenation.
 
-    def gather(group: pa.Table) -> pa.Table:
+    A text's runs between special strings are cut into pieces, which go to many tasks; at each level of the tree, ``FAN`` neighbours are joined by one task.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        for b in pieces(batches):
+            rows: list[tuple[str, int, int, bool, str]] = []
+            for key, text in zip(b["key"].to_pylist(), b["text"].to_pylist()):
+                for run, part in enumerate(enc._special.split(text) if enc._special is not None else [text]):
+                    rows += [(key, run, no, run % 2 == 1, part[at : at + piece_chars]) for no, at in enumerate(range(0, len(part), len(part) if run % 2 else piece_chars))]
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string()))], names=["key", "run", "no", "special", "text"])
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer)
+        for b in pieces(batches):
+            done = [Piece(t, np.array([0]), np.array([0, 1]), _packed([enc.specials[t]])) if special else enc.encode_piece(t) for t, special in zip(b["text"].to_pylist(), b["special"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("key", "run", "no", "special", "text")), *_packed_pieces(done)], names=["key", "run", "no", "special", "text", "starts", "before", "ids"])
+
+    def merge(group: pa.Table) -> pa.Table:
         rows = group.sort_by("no").to_pylist()
-        out, run_ = [], []
-        for r in [*rows, {"special": True, "ids": b""}]:
-            if not r["special"]:
-                run_.append(Piece(r["text"], np.frombuffer(r["starts"], "<i4").astype(np.int64), np.frombuffer(r["before"], "<i4").astype(np.int64), r["ids"]))
-                continue
-            if run_:
-                out.append(join_all(enc, run_).ids)
-                run_ = []
-            out.append(r["ids"])
-        return pa.table({"key": [rows[0]["key"]], "ids": pa.array([b"".join(out)], pa.binary())})
+        if len(rows) > 1:
+            done = join_all(encoder(tokenizer), [Piece(r["text"], np.frombuffer(r["starts"], "<i4").astype(np.int64), np.frombuffer(r["before"], "<i4").astype(np.int64), r["ids"]) for r in rows])
+            starts, before, ids = (x[0].as_py() for x in _packed_pieces([done]))
+            rows[0] |= {"text": done.text, "starts": starts, "before": before, "ids": ids}
+        r = rows[0] | {"no": rows[0]["no"] // FAN}
+        return pa.table([pa.array([r[c]], t) for c, t in (("key", pa.string()), ("run", pa.int32()), ("no", pa.int32()), ("special", pa.bool_()), ("text", pa.string()), ("starts", pa.binary()), ("before", pa.binary()), ("ids", pa.binary()))], names=["key", "run", "no", "special", "text", "starts", "before", "ids"])
 
-    return pieces.groupBy("key").applyInArrow(gather, "key string, ids binary")
+    def gather(group: pa.Table) -> pa.Table:
+        return pa.table({"key": group["key"][:1], "ids": pa.array([b"".join(group.sort_by("run")["ids"].to_pylist())], pa.binary())})
 
+    # by place as well as key, so that the pieces of one text go to many tasks
+    parts = df.mapInArrow(cut, "key string, run int, no int, special boolean, text string").repartition("key", "run", "no")
+    level, n = parts.mapInArrow(leaves, _PIECE), -(-longest // piece_chars)
+    while n > 1:
+        level, n = level.groupBy("key", "run", F.expr(f"no div {FAN}")).applyInArrow(merge, _PIECE), -(-n // FAN)
+    return level.select("key", "run", "ids").groupBy("key").applyInArrow(gather, "key string, ids binary")
 
-def _cutter(tokenizer: str, piece_chars: int):
-    """Pieces of ``piece_chars`` characters; the tokenizer's special strings are pieces of their own."""
-    kind = "array<struct<no:int,special:boolean,text:string>>"
 
-    @F.udf(kind)
-    def cut(text: str):
-        enc = encoder(tokenizer)
-        parts = enc._special.split(text) if enc._special is not None else [text]
-        out: list[tuple[int, bool, str]] = []
-        for i, part in enumerate(parts):
-            if i % 2:
-                out.append((len(out), True, part))
-            else:
-                for at in range(0, len(part), piece_chars):
-                    out.append((len(out), False, part[at : at + piece_chars]))
-        return out
+def _packed_pieces(done: list[Piece]) -> list[pa.Array]:
+    return [pa.array(x, pa.binary()) for x in ([p.starts.astype("<i4").tobytes() for p in done], [p.before.astype("<i4").tobytes() for p in done], [p.ids for p in done])]
 
-    return cut
+
+@lru_cache(maxsize=2)
+def _bytes_of_tokens(path: str) -> list[bytes]:
+    """Each id's bytes, from the file alone: what decodes needs no merges."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    specials = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
+    known = spec["model"]["vocab"] | specials
+    byte = {c: b for b, c in _shown().items()}
+    out = [b""] * (max(known.values()) + 1)
+    for token, i in known.items():
+        out[i] = token.encode() if token in specials else bytes(byte[ord(c)] for c in token)
+    return out
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Adds the text of each row's packed ids; special tokens stay visible; null or no ids give the empty text."""
-    small_batches(df.sparkSession)
+    """Adds the text of each row's packed ids; special tokens stay visible; null or no ids give the empty text; all rows and other columns stay."""
 
     @F.arrow_udf(T.StringType())
     def run(packed: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = encoder(tokenizer)
+        token = _bytes_of_tokens(tokenizer).__getitem__
         for batch in packed:
-            yield pa.array([enc.decode(x or b"") for x in batch.to_pylist()], pa.string())
+            yield pa.array([b"".join(map(token, array("I", x or b""))).decode("utf-8", "replace") for x in batch.to_pylist()], pa.string())
 
     return df.withColumn(text, run(F.col(ids)))

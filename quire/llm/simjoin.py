@@ -43,7 +43,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         value = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
