@@ -108,6 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min_z: float
 
     # near copies with equal labels are one piece of evidence: with the first of their least hash counts what isn't like it
     rows = rows.withColumn("sketch", sketches(F.col("text")))
+    equal = Window.partitionBy("sketch", "poor", "toxic").orderBy("k", F.xxhash64("text"))
+    rows = rows.withColumn("place", F.row_number().over(equal)).filter("place = 1")
     alone = Window.partitionBy(F.col("sketch")[0], "poor", "toxic").orderBy("k", F.xxhash64("text"))
     rows = rows.withColumn("place", F.row_number().over(alone)).withColumn("lead", F.first("sketch").over(alone))
     rows = rows.withColumn("copy", alike(F.col("sketch"), F.col("lead"))).filter("place = 1 or not copy")

@@ -8,6 +8,7 @@ finds the rules that a URL contains.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import free_name, small_batches
+from quire.llm.common import free_name
 
 BAD = "=bad"
 
@@ -66,11 +67,18 @@ def tokens_of(url: Column) -> Column:
     return F.coalesce(F.array_distinct(F.concat(scheme, part(host, r"\.", "h:"), part(path, "/", "p:"), keys)), F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8, min_lift: float = 2.0, min_rows: int = 20, fit_rows: int = 20_000, url: str = "url", bad: str = "bad") -> list[tuple[frozenset[str], float, float]]:
+def surely(hits: float, rows: float, z: float) -> float:
+    """The lower end of Wilson's interval, ``z`` standard deviations wide, for a share of hits among rows."""
+    p = hits / rows
+    return (p + z * z / (2 * rows) - z * math.sqrt(p * (1 - p) / rows + z * z / (4 * rows * rows))) / (1 + z * z / rows)
+
+
+def mine(labelled: DataFrame, min_confidence: float = 0.8, min_lift: float = 2.0, z: float = 1.96, fit_rows: int = 20_000, url: str = "url", bad: str = "bad") -> list[tuple[frozenset[str], float, float]]:
     """The kept rules: tokens that together go with ``bad``, their confidence and support; the best first.
 
-    Fits on at most about ``fit_rows`` rows, dealt by a hash of the URL; null URLs and labels are left out; no rows give no rules.
-    A rule must hold in ``min_support`` of these rows, and in ``min_rows`` of them, since a few rows agree by chance; so the number of rules has a bound that doesn't grow with the input.
+    Fits on at most about ``fit_rows`` rows, dealt by a hash of the URL; null URLs and labels are left out; no rows give no rules; repeated rows count each.
+    A rule's confidence must be ``min_confidence`` even at the lower end of its interval (``surely``). From this follows the least support that FP-growth is asked for: a rule
+    that nothing contradicts needs min_confidence z^2 / (1 - min_confidence) rows. A rule is dropped where a simpler one is as confident.
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -78,17 +86,22 @@ def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float =
     n = rows.count()
     if n > fit_rows:
         rows = rows.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n))
-    baskets = rows.select(F.when(F.col("bad"), F.concat(tokens_of(F.col("url")), F.array(F.lit(BAD)))).otherwise(tokens_of(F.col("url"))).alias("items"))
-    if not n or baskets.isEmpty():
+        n = rows.count()
+    if not n:
         return []
-    support = min(1.0, max(min_support, min_rows / max(1, min(n, fit_rows))))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
+    baskets = rows.select(F.when(F.col("bad"), F.concat(tokens_of(F.col("url")), F.array(F.lit(BAD)))).otherwise(tokens_of(F.col("url"))).alias("items"))
+    least = min_confidence * z * z / (1 - min_confidence) if min_confidence < 1 else n
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n), minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.filter((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.col("lift") >= min_lift)).collect()
+    return pruned([(frozenset(r.antecedent), r.confidence, r.support) for r in found if surely(r.support * n, r.support * n / r.confidence, z) >= min_confidence])
+
+
+def pruned(rules: list[tuple[frozenset[str], float, float]]) -> list[tuple[frozenset[str], float, float]]:
+    """The rules of which no part is a rule as confident; the best first."""
     kept: list[tuple[frozenset[str], float, float]] = []
-    for r in sorted(found, key=lambda r: (len(r.antecedent), -r.confidence, -r.support, sorted(r.antecedent))):
-        own = frozenset(r.antecedent)
-        if not any(k <= own and c >= r.confidence for k, c, _ in kept):
-            kept.append((own, r.confidence, r.support))
+    for own, confidence, support in sorted(rules, key=lambda r: (len(r[0]), -r[1], -r[2], sorted(r[0]))):
+        if not any(k <= own and c >= confidence for k, c, _ in kept):
+            kept.append((own, confidence, support))
     return sorted(kept, key=lambda k: (-k[1], -k[2], sorted(k[0])))
 
 
@@ -116,7 +129,6 @@ def judge(df: DataFrame, rules: list[Rule], mined: list[tuple[frozenset[str], fl
     A written rule decides where one fits; else a URL with a mined rule is blocked, all others allowed. Null and
     malformed URLs have an empty host and path, fit nothing and are allowed. One pass, no shuffle; other columns and repeated rows stay.
     """
-    small_batches(df.sparkSession)
     u = F.col(url)
     src = free_name(df, "quire_url")
     out = df.withColumn(src, u).withColumn("host", host_of(F.col(src))).withColumn("path", path_of(F.col(src)))

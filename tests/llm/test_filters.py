@@ -2,6 +2,10 @@
 
 import random
 import re
+from collections import Counter
+from itertools import combinations
+
+from pyspark.sql import functions as F
 
 from quire.llm import decontaminate as D
 from quire.llm import quality as Q
@@ -75,6 +79,32 @@ def test_mined_rules_block(spark):
     assert U.mine(df.limit(0)) == [] and U.mine(df.withColumn("bad", df.bad & False)) == []
 
 
+def test_miner_equals_brute_force(spark):
+    r = random.Random(15)
+    rows = []
+    for i in range(900):
+        host, lang, section = r.choice(["a", "b", "c"]), r.choice(["en", "de"]), r.choice(["x", "y", "z"])
+        bad = r.random() < (0.97 if (host, section) == ("a", "x") else 0.9 if lang == "de" and section == "y" else 0.1)
+        rows.append((f"http://{host}.org/{lang}/{section}", bad))
+    df = spark.createDataFrame([*rows, (None, True), ("http://a.org/", None)], "url string, bad boolean")
+    tokens = {x.url: x.t for x in df.select("url", U.tokens_of(F.col("url")).alias("t")).distinct().collect()}
+    seen, hits = Counter(), Counter()
+    for url, bad in rows:
+        for k in range(1, len(tokens[url]) + 1):
+            for own in combinations(sorted(tokens[url]), k):
+                seen[own] += 1
+                hits[own] += bad
+    base = sum(b for _, b in rows) / len(rows)
+    sure = [(frozenset(o), hits[o] / n, hits[o] / len(rows)) for o, n in seen.items() if hits[o] / n >= max(0.8, 2 * base) and U.surely(hits[o], n, 1.96) >= 0.8]
+    got, want = U.mine(df), U.pruned(sure)
+    assert got and [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 1e-9 for g, w in zip(got, want))
+
+
+def test_few_rows_make_no_rule(spark):
+    df = spark.createDataFrame([(f"http://h{i % 40}.com/", i % 40 < 4) for i in range(400)], "url string, bad boolean")
+    assert U.mine(df) == [] and U.mine(df.union(df)) != []
+
+
 def test_quality_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
@@ -121,3 +151,37 @@ def test_sparse_hosts_shrink(spark):
     df = spark.createDataFrame(rows, "host string, path string, x double").selectExpr("host", "path", "named_struct('poor', x, 'toxic', -5D) as evidence")
     got = {(r.host, r.path): r.rate_poor for r in Q.rates(df, Q.Model({}, (0.5, 0.05)), "host", "path").collect()}
     assert got["big", "a"] > 0.6 and got["big", "b"] < 0.2 and got["one", "a"] < 0.95
+
+
+def test_calibration_undoes_overlap():
+    # every piece of evidence is there three times, so the sums say thrice too much
+    r = random.Random(16)
+    rows = [(r.random() < 0.2, r.gauss(0, 1)) for _ in range(4000)]
+    sums = [[3 * min(0.0, x + bad - 0.5), 3 * max(0.0, x + bad - 0.5)] for bad, x in rows]
+    _, low, high = Q.calibrated(sums, [int(b) for b, _ in rows], 0.2)
+    assert 0.2 < low < 0.5 and 0.2 < high < 0.5
+    assert Q.calibrated(sums[:5], [0, 0, 1, 0, 0], 0.2) == (0.0, 1.0, 1.0)
+
+
+def test_weights_and_posterior_equal_plain_python(spark):
+    import math
+
+    rows = [(i, " ".join(["good" if i % 3 else "vile", f"w{i % 7}", "all"] + ["pair"] * (i % 2)), "s", "en") for i in range(600)]
+    marks = [(i, int(i % 5 != 0), int(i % 3 == 0)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    model = Q.fit(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    # copies with equal labels count once
+    folded = {(t, q, x) for (_, t, _, _), (_, q, x) in zip(rows, marks)}
+    n, bad = len(folded), sum(x for *_, x in folded)
+    held = [(f, x) for t, _, x in folded for f in Q.features(t)]
+    for f in {f for f, _ in held}:
+        k, b = sum(g == f for g, _ in held), sum(g == f and x for g, x in held)
+        want = math.log((b + 0.5) / (bad + 1)) - math.log((k - b + 0.5) / (n - bad + 1)) if Q._test(b, k, bad, n) >= 25 else 0.0
+        assert abs(model.weights.get(f, (0, 0))[1] - want) < 1e-9
+    c, a, b = model.scale[1]
+    out = {r.doc_id: r for r in Q.score(docs, model, "source", "lang").collect()}
+    # one host and path: its rate is the mean of what the sample's rate gives
+    base = math.log(model.rate[1] / (1 - model.rate[1]))
+    ev = {i: c + a * s[2] + b * s[3] for i, t, _, _ in rows for s in [Q._sums(t, model.weights)]}
+    rate = sum(1 / (1 + math.exp(-e - base)) for e in ev.values()) / len(rows)
+    assert all(abs(out[i].p_toxic - 1 / (1 + math.exp(-e - math.log(rate / (1 - rate))))) < 1e-6 for i, e in ev.items())
