@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import free_name, pieces, text_of
+from quire.llm.common import free_name, small_batches, text_of
 
 #: The white space of the pre-tokenizer's pattern: Unicode's White_Space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -311,6 +311,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids",
     each distinct text, in pieces over many tasks, so that one long text doesn't hold up a partition.
     The tokenizer's special strings inside texts become their special ids, as is its default.
     """
+    small_batches(df.sparkSession)
 
     @F.arrow_udf(T.BinaryType())
     def short(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -345,7 +346,7 @@ def encode_long(df: DataFrame, tokenizer: str, longest: int, piece_chars: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for b in pieces(batches):
+        for b in batches:
             rows: list[tuple[str, int, int, bool, str]] = []
             for key, text in zip(b["key"].to_pylist(), b["text"].to_pylist()):
                 for run, part in enumerate(enc._special.split(text) if enc._special is not None else [text]):
@@ -355,7 +356,7 @@ def encode_long(df: DataFrame, tokenizer: str, longest: int, piece_chars: int =
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for b in pieces(batches):
+        for b in batches:
             done = [Piece(t, np.array([0]), np.array([0, 1]), _packed([enc.specials[t]])) if special else enc.encode_piece(t) for t, special in zip(b["text"].to_pylist(), b["special"].to_pylist())]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in ("key", "run", "no", "special", "text")), *_packed_pieces(done)], names=["key", "run", "no", "special", "text", "starts", "before", "ids"])
 
@@ -401,6 +402,7 @@ def _bytes_of_tokens(path: str) -> list[bytes]:
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the text of each row's packed ids; special tokens stay visible; null or no ids give the empty text; all rows and other columns stay."""
+    small_batches(df.sparkSession)
 
     @F.arrow_udf(T.StringType())
     def run(packed: Iterator[pa.Array]) -> Iterator[pa.Array]:

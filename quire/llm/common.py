@@ -6,8 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +42,9 @@ _paths: set[str] = set()
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: the rows written as Parquet in the shared folder and read again."""
     spark = df.sparkSession
-    path, before = fresh_path(spark, name), spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    path = fresh_path(spark, name)
+    with bounded(spark, {_CLEANUP: "true"}):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["quire_path"] = path
     return out
@@ -72,18 +69,28 @@ def _remove(spark: SparkSession, path: str) -> None:
     _paths.discard(path)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of bounded rows and, but for single long rows, bytes; Spark bounds batches by 64 MB alone."""
-    for b in batches:
-        step = max(1, min(rows, int(len(b) * most / max(1, b.nbytes))))
-        for i in range(0, len(b), step):
-            yield b.slice(i, step)
+#: Rows and bytes of an Arrow batch, since one text may have megabytes and Spark bounds batches by ten thousand rows or 64 MB.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+@contextmanager
+def bounded(spark: SparkSession, more: dict[str, str] | None = None) -> Iterator[None]:
+    """Small Arrow batches for the actions within; the session's own settings come back after."""
+    wanted = _BATCH | (more or {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def small_batches(spark: SparkSession, rows: int = 1024, bytes_: str = "8m") -> None:
-    """Bounds an Arrow batch by bytes as well as rows, since one text may have megabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", bytes_)
+def small_batches(spark: SparkSession) -> None:
+    """The same for a result that is made only when its reader asks for it: the setting has to last."""
+    for k, v in _BATCH.items():
+        spark.conf.set(k, v)
 
 
 def text_of(name: str) -> Column:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import drop, free_name, stored, text_of
+from quire.llm.common import bounded, drop, free_name, stored, text_of
 
 _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LABELS = ("poor", "toxic")
@@ -151,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min_z: float
             got = [_sums(t, crossed.value[h]) for t, h in zip(b["text"].to_pylist(), b["half"].to_pylist())]
             yield pa.RecordBatch.from_arrays([b["poor"], b["toxic"], pa.array(got, pa.list_(pa.float64()))], names=["poor", "toxic", "sums"])
 
-    told = rows.mapInArrow(judged, "poor int, toxic int, sums array<double>").collect()
+    with bounded(docs.sparkSession):
+        told = rows.mapInArrow(judged, "poor int, toxic int, sums array<double>").collect()
     drop(rows, counts)
     rate = tuple((add(total, x, (0, 1)) + 0.5) / (add(total, "n", (0, 1)) + 1) for x in LABELS)
     scale = tuple(calibrated([r.sums[2 * i : 2 * i + 2] for r in told], [r[x] for r in told], rate[i]) for i, x in enumerate(LABELS))

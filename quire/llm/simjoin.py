@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import BROADCAST_ROWS, drop, free_name, pieces, stored, text_of
+from quire.llm.common import BROADCAST_ROWS, drop, free_name, stored, text_of
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: 64-bit words of a sketch.
@@ -166,7 +166,7 @@ def _named(df: DataFrame, n: int, percent: int, key: str, text: str) -> DataFram
     rows = df.select(F.col(key).alias("key"), text_of(text).alias("text")).select("key", "text", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2"))
 
     def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for b in batches:
             sets = [shingles(t, n) for t in b["text"].to_pylist()]
             heads = [head(s, percent) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -252,7 +252,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, n: int, percen
     wanted = stored(docs.select("id", "d1", "d2").join(concerned, "id"), "wanted")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for b in batches:
             yield pa.RecordBatch.from_arrays([b["id"], pa.array([shingles(t, n).tobytes() for t in b["text"].to_pylist()], pa.binary())], names=["id", "set"])
 
     texts = rows.select("d1", "d2", "text").join(_small(wanted), ["d1", "d2"]).select("id", "text").dropDuplicates(["id"])
