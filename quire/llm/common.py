@@ -57,9 +57,14 @@ def drop(*tables: DataFrame) -> None:
             _remove(t.sparkSession, path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Removes all that is left of the operators' tables in the shared folder; call it when their results have been read."""
-    for path in sorted(_paths):
+def written() -> set[str]:
+    """The operators' tables that are still in the shared folder."""
+    return set(_paths)
+
+
+def sweep(spark: SparkSession, paths: set[str] | None = None) -> None:
+    """Removes these tables, or all, from the shared folder; call it when the results made from them have been read."""
+    for path in sorted(_paths if paths is None else paths & _paths):
         _remove(spark, path)
 
 

@@ -209,7 +209,8 @@ def _entries(docs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """The inverted lists, as rows (e, id, n, own, pos, b0...): prefix elements that more than one set has; own: counted elements that no other has."""
     sets = docs.filter(F.size("es") > 0).join(own, "id", "left_semi")
     elements = sets.select("id", "n", "inside", F.explode("es").alias("e"))
-    seen = elements.groupBy("e").agg(F.count("*").alias("f")).filter("f > 1")
+    # written apart, so that its shuffle is gone before the elements are shuffled again
+    seen = stored(elements.groupBy("e").agg(F.count("*").alias("f")).filter("f > 1"), "seen")
     share = counted_share(percent)
     counted = F.lit(True) if share == 1.0 else F.col("e").between(0, int(share * 2**64) - 1)
     shared = elements.join(seen, "e").withColumn("f", F.when(counted, F.col("f")).otherwise(0))
@@ -224,7 +225,7 @@ def _entries(docs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     listed = stored(listed.join(several, "e"), "listed")
     bits = docs.select("id", *[F.col("bits")[i].alias(f"b{i}") for i in range(_WORDS)])
     out = stored(listed.join(bits, "id"), "entries")
-    drop(listed)
+    drop(seen, listed)
     return out
 
 
