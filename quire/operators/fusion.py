@@ -115,3 +115,24 @@ def is_table_row(c: Column) -> Column:
     cells = T.lines(c)
     short = (F.length(c) <= 220) & F.forall(cells, lambda x: F.length(x) <= 80)
     return (F.size(cells) >= 2) & ~is_list(c) & short & (F.exists(cells, lambda x: F.rlike(x, F.lit(r"(?U)\d"))) | is_table_header(c))
+
+
+def plan(native: DataFrame, ocr: DataFrame) -> DataFrame:
+    """The segments of both kinds, with role and whether to translate: (doc_id, page_number, segment_id, source_kind, source_ref, role, text, bbox, translate).
+
+    native: doc_id, page_number, block_index, role, text, bbox, lines (text, bbox); a table's header gives a segment for each line, controls and table
+    rows aren't translated. ocr: doc_id, page_number, candidate_index, ocr_status, quality, text, bbox.
+    """
+    p, b = F.col("page_number").cast("string"), F.col("block_index").cast("string")
+    t = F.coalesce("text", F.lit(""))
+    known = native.withColumn("_header", is_table_header(t) & (F.coalesce(F.size("lines"), F.lit(0)) > 0)).withColumn("_control", is_control(t)).withColumn("_row", is_table_row(t))
+    role = F.when(F.col("_control"), "ui_control").when(F.col("_row"), "table_row").otherwise(F.coalesce("role", F.lit("content")))
+    key = ["doc_id", "page_number"]
+    whole = known.filter(~F.col("_header")).select(*key, F.format_string("P%sN%s", p, b).alias("segment_id"), F.lit("native").alias("source_kind"), F.concat(F.lit("block:"), b).alias("source_ref"), role.alias("role"), "text", "bbox", (~F.col("_control") & ~F.col("_row")).alias("translate"))
+    cells = known.filter("_header").select(*key, "block_index", F.col("bbox").alias("_box"), F.posexplode("lines").alias("_i", "_l")).withColumn("text", T.strip(F.coalesce("_l.text", F.lit("")))).filter("text <> ''")
+    i = (F.col("_i") + 1).cast("string")
+    heads = cells.select(*key, F.format_string("P%sN%sL%s", p, b, i).alias("segment_id"), F.lit("native").alias("source_kind"), F.format_string("block:%s:line:%s", b, i).alias("source_ref"), F.lit("table_header_cell").alias("role"), "text", F.coalesce("_l.bbox", "_box").alias("bbox"), F.lit(True).alias("translate"))
+    c = F.col("candidate_index").cast("string")
+    wanted = F.coalesce((F.col("ocr_status") == "ok") & F.col("quality").isin("usable", "review"), F.lit(False))
+    read = ocr.select(*key, F.format_string("P%sO%sS1", p, c).alias("segment_id"), F.lit("ocr").alias("source_kind"), F.concat(F.lit("ocr:"), c).alias("source_ref"), F.lit("ocr_region").alias("role"), "text", "bbox", wanted.alias("translate"))
+    return whole.unionByName(heads).unionByName(read)

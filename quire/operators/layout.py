@@ -24,6 +24,7 @@ EXCLUDED = {
     "legal_footer": "excluded_as_legal_footer", "numeric_value": "excluded_as_numeric_value", "ornament": "excluded_as_ornament", "page_number": "excluded_as_page_number", "repeated_chrome": "excluded_as_repeated_chrome",
     "sensitive_metadata": "excluded_as_sensitive_metadata", "support_metadata": "excluded_as_support_metadata",
 }
+# Reasons that are hard, groups that soften them, and groups that are looked at themselves.
 HARD = ["review_candidate_content_role_in_footer_zone", "review_candidate_content_role_in_header_zone", "review_candidate_order_moves_up_page", "review_structural_exclusion_in_body_zone"]
 STRUCTURED = ["heading_group", "ingredient_list_group", "instruction_group", "step_group", "table_group"]
 COMPLEX = ["ingredient_list_group", "instruction_group", "step_group", "table_group"]
@@ -73,11 +74,14 @@ def merge_titles(split: DataFrame) -> DataFrame:
 
 
 def reading_flow(candidates: DataFrame, order: str = "block_index") -> DataFrame:
-    """Adds reading_order, x_overlap and vertical_gap to the one before, flow and flow_flags."""
+    """Adds reading_order, x_overlap and vertical_gap to the one before, the same to the one after (next_), flow and flow_flags."""
     page = Window.partitionBy(*KEY).orderBy(order)
     out = candidates.withColumn("reading_order", F.row_number().over(page) - 1).withColumn("_prev", F.lag("bbox").over(page)).withColumn("_n", F.count("*").over(Window.partitionBy(*KEY)))
     first = F.col("_prev").isNull()
     out = out.withColumn("x_overlap", F.when(~first, G.horizontal_overlap(F.col("_prev"), F.col("bbox")))).withColumn("vertical_gap", F.when(~first, G.vertical_gap(F.col("_prev"), F.col("bbox"))))
+    out = out.withColumn("_next", F.lead("bbox").over(page))
+    last = F.col("_next").isNull()
+    out = out.withColumn("next_x_overlap", F.when(~last, G.horizontal_overlap(F.col("bbox"), F.col("_next")))).withColumn("next_vertical_gap", F.when(~last, G.vertical_gap(F.col("bbox"), F.col("_next"))))
     flow = (
         F.when(F.col("_n") == 1, "isolated_block")
         .when(F.col("role").isin("table_header", "table_cell"), "table_like_flow")
@@ -88,7 +92,7 @@ def reading_flow(candidates: DataFrame, order: str = "block_index") -> DataFrame
     up = F.col("_prev.y0") - F.col("bbox.y0") > F.greatest(F.lit(48.0), F.col("height") * 0.10)
     gap = F.col("vertical_gap") > F.greatest(F.lit(96.0), F.col("height") * 0.25)
     flags = F.array_compact(F.array(F.when(up, "review_candidate_order_moves_up_page"), F.when(gap, "review_large_vertical_gap_between_candidates")))
-    return out.withColumn("flow", flow).withColumn("flow_flags", flags).drop("_prev", "_n")
+    return out.withColumn("flow", flow).withColumn("flow_flags", flags).drop("_prev", "_next", "_n")
 
 
 def zone_flags(role: Column, vertical: Column, horizontal: Column, exclusion_reason: Column, group_type: Column) -> Column:
@@ -193,3 +197,54 @@ def readiness(pages: DataFrame, reasons: DataFrame) -> DataFrame:
     worst = rated.groupBy(*KEY).agg(F.max(F.element_at(rank, F.col("severity"))).alias("r"), F.count_if(F.col("severity") == "soft_review").alias("soft_review_items"), F.count_if(F.col("severity") == "hard_review").alias("hard_review_items"))
     status = F.when(F.col("r") == 3, "blocked").when(F.col("r") == 2, "hard_review").when(F.col("r") == 1, "soft_review").otherwise("ready")
     return pages.join(worst, KEY, "left").withColumn("status", status).drop("r").fillna(0, ["soft_review_items", "hard_review_items"])
+
+
+def with_groups(split: DataFrame) -> DataFrame:
+    """Adds group_id and group_type of candidates; null for other blocks."""
+    found = layout_groups(split.filter("is_candidate")).select(*KEY, "block_index", "group_id", "group_type")
+    return split.join(found, [*KEY, "block_index"], "left")
+
+
+def reasons(grouped: DataFrame) -> DataFrame:
+    """(doc_id, page_number, reason, group_type) of what is to be reviewed: zone flags, reading flow, and groups of complex kinds, once each.
+
+    grouped: blocks with their zones and groups. A group as such softens nothing, so its own reason has no group type.
+    """
+    zones = grouped.select(*KEY, F.explode(zone_flags(F.col("role"), F.col("vertical"), F.col("horizontal"), F.col("exclusion_reason"), F.col("group_type"))).alias("reason"), "group_type")
+    moves = reading_flow(grouped.filter("is_candidate")).select(*KEY, F.explode("flow_flags").alias("reason"), "group_type")
+    kinds = grouped.filter(F.col("group_type").isin(COMPLEX)).select(*KEY, "group_id", "group_type").distinct()
+    return zones.unionByName(moves).unionByName(kinds.select(*KEY, F.concat(F.lit("review_layout_group_"), "group_type").alias("reason"), F.lit(None).cast("string").alias("group_type")))
+
+
+def _shown(text: Column) -> Column:
+    return F.substring(T.strip(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" | "))), 1, 120)
+
+
+def review_items(grouped: DataFrame) -> DataFrame:
+    """A row for each block with zone or flow flags: kind (zone, flow), item_type (candidate, excluded), flags, reason of choice, preview, and its group unless isolated."""
+    group = lambda c: F.when(F.col("group_type") != "isolated_group", F.col(c)).alias(c)
+    common = [*KEY, "block_index", "role", F.coalesce("selection_reason", "exclusion_reason").alias("chosen_by"), T.line_count(F.coalesce("text", F.lit(""))).alias("line_count"), _shown(F.col("text")).alias("text_preview"), group("group_id"), group("group_type")]
+    kind = F.when(F.col("is_candidate"), "candidate").otherwise("excluded").alias("item_type")
+    flags = zone_flags(F.col("role"), F.col("vertical"), F.col("horizontal"), F.col("exclusion_reason"), F.col("group_type"))
+    zones = grouped.withColumn("flags", flags).filter(F.size("flags") > 0).select(F.lit("zone").alias("kind"), kind, "flags", *common)
+    moves = reading_flow(grouped.filter("is_candidate")).filter(F.size("flow_flags") > 0).select(F.lit("flow").alias("kind"), kind, F.col("flow_flags").alias("flags"), *common)
+    return zones.unionByName(moves)
+
+
+def group_review_items(grouped: DataFrame) -> DataFrame:
+    """A row for each layout group that isn't a lone block: its blocks and roles from the top."""
+    rows = grouped.filter("group_type <> 'isolated_group'").groupBy(*KEY, "group_id", "group_type").agg(F.array_sort(F.collect_list(F.struct(F.col("bbox.y0").alias("y0"), F.col("bbox.x0").alias("x0"), "block_index", "role"))).alias("m"))
+    return rows.select(*KEY, "group_id", "group_type", F.size("m").alias("candidate_count"), F.col("m.block_index").alias("block_indices"), F.col("m.role").alias("roles"))
+
+
+def overlay_ready(split: DataFrame) -> DataFrame:
+    """The counts of a page's overlay report: candidates and their lines, excluded blocks, items to review by kind, and the status with its severities."""
+    grouped = with_groups(split)
+    lines = T.line_count(F.coalesce("text", F.lit("")))
+    pages = grouped.groupBy(*KEY).agg(
+        F.count_if("is_candidate").alias("candidates"), F.sum(F.when(F.col("is_candidate"), lines).otherwise(0)).alias("candidate_lines"), F.count_if(~F.col("is_candidate")).alias("excluded_blocks"),
+        F.count_distinct(F.when(F.col("group_type") != "isolated_group", F.col("group_id"))).alias("layout_group_items"), F.count_distinct(F.when(F.col("group_type").isin(COMPLEX), F.col("group_id"))).alias("complex_groups"),
+    )
+    items = review_items(grouped).groupBy(*KEY).agg(F.count_if(F.col("kind") == "zone").alias("zone_items"), F.count_if(F.col("kind") == "flow").alias("flow_items"))
+    rated = readiness(pages, reasons(grouped)).join(items, KEY, "left").fillna(0, ["zone_items", "flow_items"])
+    return rated.withColumn("review_items", F.col("zone_items") + F.col("flow_items") + F.col("complex_groups")).drop("complex_groups")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
+from quire.functions import structural as S
 from quire.functions import text as T
 from quire.operators import fit, fusion, layout, roles, routing, translate
 from quire.sources import adapters as A
@@ -54,14 +55,17 @@ def layout_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_readiness(spark: SparkSession, d: str) -> DataFrame:
-    """Roles, zones and reading flow together, down to each page's status."""
-    split = layout.split_blocks(roles.roles(A.document_blocks(spark, d)))
-    flow = layout.reading_flow(split.filter("is_candidate"))
-    none = F.lit(None).cast("string")
-    zones = split.select(*layout.KEY, F.explode(layout.zone_flags(F.col("role"), F.col("vertical"), F.col("horizontal"), F.col("exclusion_reason"), none)).alias("reason"), none.alias("group_type"))
-    moves = flow.select(*layout.KEY, F.explode("flow_flags").alias("reason"), none.alias("group_type"))
-    pages = split.groupBy(*layout.KEY).agg(F.count_if("is_candidate").alias("candidates"))
-    return layout.readiness(pages, zones.unionByName(moves))
+    """Roles, zones, groups and reading flow together, down to each page's counts and status."""
+    return layout.overlay_ready(layout.split_blocks(roles.roles(A.document_blocks(spark, d))))
+
+
+def structural_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Binding: a line of an order as a quantity, a step or a text without rule."""
+    li = A.table(spark, d, "lineitem")
+    item = F.when(F.col("l_returnflag") == "A", "sucre vanillé").when(F.col("l_returnflag") == "R", "Œufs").otherwise("riz")
+    n = F.col("l_quantity").cast("int").cast("string")
+    text = F.when(F.col("l_linenumber") == 1, F.concat(F.lit("Étape  "), n)).when(F.col("l_linenumber") % 2 == 0, F.concat(n, F.lit(" g de "), item)).otherwise(F.concat(n, F.lit(" "), item))
+    return li.select("l_orderkey", "l_linenumber", S.structural(text).alias("translated"))
 
 
 def image_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +160,7 @@ def column_order(spark: SparkSession, d: str) -> DataFrame:
     return fusion.reading_order(regions).select("doc_id", "page_number", "region_pos", "reading_order")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (repeat_counts, top_repeats, block_roles, role_summary, table_runs, zone_counts, reading_flow, layout_groups, page_readiness, image_rules, document_kinds, page_routes, translation_gate, ocr_quality, masked_documents, translation_batches, replacement_plan, ocr_plan, fused_pages, missing_pages, recognised_lines, column_order)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (repeat_counts, top_repeats, block_roles, role_summary, table_runs, zone_counts, reading_flow, layout_groups, page_readiness, structural_lines, image_rules, document_kinds, page_routes, translation_gate, ocr_quality, masked_documents, translation_batches, replacement_plan, ocr_plan, fused_pages, missing_pages, recognised_lines, column_order)}
 
 
 # the same in SQL
@@ -186,6 +190,8 @@ ORACLES: dict[str, str] = {
         o as (select *, case when py0 is null then null when least(px1 - px0, x1 - x0) > 0 then greatest(0, least(px1, x1) - greatest(px0, x0)) / least(px1 - px0, x1 - x0) else 0 end as overlap, greatest(0, y0 - py1) as gap from w)
         select doc_id, page_number, block_index, reading_order, case when n = 1 then 'isolated_block' when overlap < 0.5 then 'multi_column_candidate' else 'single_column_flow' end as flow,
           concat_ws(',', case when py0 - y0 > greatest(48, 84.2) then 'review_candidate_order_moves_up_page' end, case when gap > greatest(96, 210.5) then 'review_large_vertical_gap_between_candidates' end) as flags from o""",
+    "structural_lines": """with t as (select l_orderkey, l_linenumber, l_quantity::int::varchar as n, case l_returnflag when 'A' then 'vanilla sugar' when 'R' then 'eggs' end as item from lineitem)
+        select l_orderkey, l_linenumber, case when l_linenumber = 1 then 'step ' || n when l_linenumber % 2 = 0 then n || ' g ' || item else n || ' ' || item end as translated from t""",
     "image_rules": """with i as (select l_orderkey % 1000 as d, l_orderkey as page_number, l_linenumber as image_index, l_quantity * 8 as w, l_extendedprice / 100 as h from lineitem),
         r as (select *, w * h / (595.0 * 842.0) as a, case when w < 32 or h < 24 then 'image_too_small_for_ocr' when w * h / (595.0 * 842.0) < 0.01 then 'image_area_below_ocr_threshold' when greatest(w / greatest(h, 1), h / greatest(w, 1)) > 8 then 'image_aspect_ratio_too_extreme' end as reason from i)
         select page_number, image_index, reason, case reason when 'image_area_below_ocr_threshold' then 'illustration_or_figure' when 'image_aspect_ratio_too_extreme' then 'decorative' when 'image_too_small_for_ocr' then case when a < 0.002 or greatest(w, h) < 16 then 'decorative' else 'too_small_for_ocr' end end as classification,

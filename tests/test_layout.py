@@ -210,3 +210,46 @@ def test_reports(spark, tmp_path):
     assert reports.read_report(spark, str(tmp_path / "r"), "doc_id string, role string").count() == 3
     assert [r.value for r in spark.read.text(str(tmp_path / "r/text")).collect()].count("doc_id=d role=content") == 2
     assert reports.violations(df, short="length(text) <= 3").count() == 1
+
+
+def test_structural_texts(spark):
+    from quire.functions import structural as S
+
+    cases = {
+        "Étape 3": "step 3", "Pour 4 personnes": "For 4 people", "INGRÉDIENTS": "Ingredients", "200 g de sucre": "200 g sugar", "3 cuillères à soupe d’café fort": "3 tbsp strong coffee", "2 œufs": "2 eggs", "2,5 kg de cacao amer": "2,5 kg unsweetened cocoa",
+        "étape 1\n\n 2 oeufs ": "step 1\n2 eggs", "étape 1\nautre": None, "": None, "200 g de riz": None, None: None,
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, text string")
+    got = [r.s for r in df.select("i", S.structural(F.col("text")).alias("s")).orderBy("i").collect()]
+    assert got == list(cases.values())
+    rows = spark.createDataFrame([("a [[URL_1]]", " b [[URL_1]] "), ("a", "[[URL_2]] b   c\n\n [[URL_2]]\nd")], "s string, t string")
+    assert [r.x for r in rows.select(S.sanitised(F.col("s"), F.col("t")).alias("x")).collect()] == ["b [[URL_1]]", "b c\nd"]
+
+
+def test_fusion_plan_gates(spark):
+    from quire.operators import fusion
+
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    native = spark.createDataFrame(
+        [(1, 1, 0, "content", "Valider :", None, None), (1, 1, 1, "content", "Riz\n3 kg", None, None), (1, 1, 2, "content", "Quantité\nUnité\nPrix HT", None, [("Quantité", None), (" ", None), ("Prix HT", None)]), (1, 1, 3, None, "Un texte", None, None)],
+        f"doc_id int, page_number int, block_index int, role string, text string, bbox {box}, lines array<struct<text:string,bbox:{box}>>",
+    )
+    ocr = spark.createDataFrame([(1, 1, 0, "ok", "usable", "x", None), (1, 1, 1, "ok", "weak", "y", None), (1, 1, 2, None, None, None, None)], f"doc_id int, page_number int, candidate_index int, ocr_status string, quality string, text string, bbox {box}")
+    got = {r.segment_id: (r.role, r.translate, r.text) for r in fusion.plan(native, ocr).collect()}
+    assert got == {
+        "P1N0": ("ui_control", False, "Valider :"), "P1N1": ("table_row", False, "Riz\n3 kg"), "P1N2L1": ("table_header_cell", True, "Quantité"), "P1N2L3": ("table_header_cell", True, "Prix HT"), "P1N3": ("content", True, "Un texte"),
+        "P1O0S1": ("ocr_region", True, "x"), "P1O1S1": ("ocr_region", False, "y"), "P1O2S1": ("ocr_region", False, None),
+    }
+
+
+def test_overlay_ready_counts_groups(spark):
+    from quire.operators import layout
+
+    box = lambda x, y, w=200, h=12: (float(x), float(y), float(x + w), float(y + h))
+    rows = [(1, 1, 0, "table_header", "A\nB", box(40, 300)), (1, 1, 1, "table_cell", "1\n2", box(40, 320)), (1, 1, 2, "content", "moved", box(40, 100)), (1, 1, 3, "footer", "foot", box(40, 400)), (1, 2, 0, "footer", "x", box(40, 830))]
+    blocks = spark.createDataFrame([(*r, 595.0, 842.0) for r in rows], "doc_id int, page_number int, block_index int, role string, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>, width double, height double")
+    got = {r.page_number: r for r in layout.overlay_ready(layout.split_blocks(blocks)).collect()}
+    a, b = got[1], got[2]
+    assert (a.candidates, a.candidate_lines, a.excluded_blocks, a.layout_group_items, a.zone_items, a.status) == (3, 5, 1, 1, 2, "hard_review")
+    # a header footer in the body and the block that moves up the page (header zone, order) are hard; the table group is soft
+    assert a.review_items == a.zone_items + a.flow_items + 1 and a.soft_review_items >= 1 and b.status == "blocked"
