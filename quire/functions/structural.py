@@ -44,7 +44,7 @@ def _of(values: dict[str, str], c: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), c)
 
 
-def _line(c: Column) -> Column:
+def line(c: Column) -> Column:
     """What one line's rule gives, or null; the first that fits decides."""
     k = key(c)
     part = lambda pattern, i: F.regexp_extract(k, pattern, i)
@@ -61,7 +61,7 @@ def _line(c: Column) -> Column:
 
 def structural(c: Column) -> Column:
     """All lines by rule, or null where one has none or there is no line."""
-    done = F.transform(T.lines(c), _line)
+    done = F.transform(T.lines(c), line)
     return F.when((F.size(done) > 0) & ~F.exists(done, lambda x: x.isNull()), F.array_join(done, "\n"))
 
 

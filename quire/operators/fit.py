@@ -2,37 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.functions import text as T
 
 
+class Sizes(NamedTuple):
+    """What the rules ask of a source text, its translation and their box."""
+
+    source_length: Column
+    translated_length: Column
+    source_lines: Column
+    translated_lines: Column
+    box_width: Column
+    box_height: Column
+
+    @property
+    def area(self) -> Column:
+        return self.box_width * self.box_height
+
+
+def sizes(source: Column, translated: Column, box: Column) -> Sizes:
+    return Sizes(T.text_length(source), T.text_length(translated), T.line_count(source), T.line_count(translated), G.width(box), G.height(box))
+
+
+def measured(df: DataFrame, source: Column, translated: Column, box: Column) -> tuple[DataFrame, Sizes]:
+    """The rows with the sizes as columns, so that rules go over numbers and texts are read once."""
+    named = sizes(source, translated, box)._asdict()
+    return df.withColumns(named), Sizes(*map(F.col, named))
+
+
+def over(x: Sizes) -> Column:
+    return F.when(x.source_length > 0, x.translated_length / x.source_length).otherwise(1.0)
+
+
+def dense(x: Sizes) -> Column:
+    """Characters per 1000 square points."""
+    return F.when(x.area > 0, x.translated_length / x.area * 1000.0).otherwise(0.0)
+
+
 def ratio(source: Column, translated: Column) -> Column:
-    n = T.text_length(source)
-    return F.when(n > 0, T.text_length(translated) / n).otherwise(1.0)
+    return over(sizes(source, translated, F.lit(None).cast(G.BOX)))
 
 
 def density(translated: Column, box: Column) -> Column:
-    """Characters per 1000 square points."""
-    a = G.area(box)
-    return F.when(a > 0, T.text_length(translated) / a * 1000.0).otherwise(0.0)
+    return dense(sizes(translated, translated, box))
 
 
-def flags(source: Column, translated: Column, box: Column, line_ratio: Column | None = None, fitted: Column | None = None, source_size: Column | None = None, native: bool = True) -> Column:
+def flags_of(x: Sizes, line_ratio: Column | None = None, fitted: Column | None = None, source_size: Column | None = None, native: bool = True) -> Column:
     """Sorted flags. line_ratio, fitted and source_size come from font metrics; without them their flags don't arise."""
-    n, m = T.text_length(source), T.text_length(translated)
     found = [
-        F.when(G.area(box) <= 0, "missing_bbox"),
-        F.when(m == 0, "empty_translation"),
-        F.when((n > 0) & (m / F.greatest(n, F.lit(1)) > 1.6), "large_translation_expansion"),
-        F.when(m > 260, "long_translation"),
-        F.when((T.line_count(source) > 0) & (T.line_count(translated) > T.line_count(source) + 1), "more_translated_lines_than_source"),
-        F.when(density(translated, box) > 18.0, "dense_text_for_region"),
+        F.when(x.area <= 0, "missing_bbox"),
+        F.when(x.translated_length == 0, "empty_translation"),
+        F.when((x.source_length > 0) & (x.translated_length / F.greatest(x.source_length, F.lit(1)) > 1.6), "large_translation_expansion"),
+        F.when(x.translated_length > 260, "long_translation"),
+        F.when((x.source_lines > 0) & (x.translated_lines > x.source_lines + 1), "more_translated_lines_than_source"),
+        F.when(dense(x) > 18.0, "dense_text_for_region"),
     ]
     if native:
-        found.append(F.when((G.width(box) < 24) | (G.height(box) < 6), "very_small_region"))
+        found.append(F.when((x.box_width < 24) | (x.box_height < 6), "very_small_region"))
         if line_ratio is not None:
             found += [F.when(line_ratio > 1.0, "translated_line_overflow"), F.when(line_ratio > 1.35, "severe_line_overflow")]
         if fitted is not None and source_size is not None:
@@ -40,6 +72,10 @@ def flags(source: Column, translated: Column, box: Column, line_ratio: Column |
     return F.array_sort(F.array_compact(F.array(*found)))
 
 
+def flags(source: Column, translated: Column, box: Column, line_ratio: Column | None = None, fitted: Column | None = None, source_size: Column | None = None, native: bool = True) -> Column:
+    return flags_of(sizes(source, translated, box), line_ratio, fitted, source_size, native)
+
+
 def _any(flags: Column, *names: str) -> Column:
     return F.arrays_overlap(flags, F.array(*map(F.lit, names)))
 
@@ -86,15 +122,19 @@ def render_decision(policy: Column, status: Column, strategy: Column, risk: Colu
     )
 
 
+def fusion_risk_of(x: Sizes, kind: Column) -> Column:
+    ratio, m = over(x), x.translated_length
+    ocr = F.when(m == 0, "review").when((ratio > 1.6) | (m > 260), "high").when((ratio > 1.25) | (m > 180), "medium").otherwise("low")
+    return F.when(kind == "ocr", ocr).otherwise(F.when(ratio > 1.35, "high").when(ratio > 1.1, "medium").otherwise("low"))
+
+
 def fusion_risk(source: Column, translated: Column, kind: Column) -> Column:
-    over, m = ratio(source, translated), T.text_length(translated)
-    ocr = F.when(m == 0, "review").when((over > 1.6) | (m > 260), "high").when((over > 1.25) | (m > 180), "medium").otherwise("low")
-    return F.when(kind == "ocr", ocr).otherwise(F.when(over > 1.35, "high").when(over > 1.1, "medium").otherwise("low"))
+    return fusion_risk_of(sizes(source, translated, F.lit(None).cast(G.BOX)), kind)
 
 
-def ocr_strategy(source: Column, translated: Column, box: Column, risk: Column, flags: Column) -> Column:
-    a, d, m = G.area(box), density(translated, box), T.text_length(translated)
-    few_lines = T.line_count(translated) <= F.greatest(F.lit(3), T.line_count(source) + 1)
+def ocr_strategy_of(x: Sizes, risk: Column, flags: Column) -> Column:
+    a, d, m = x.area, dense(x), x.translated_length
+    few_lines = x.translated_lines <= F.greatest(F.lit(3), x.source_lines + 1)
     return (
         F.when((m == 0) | (a <= 0) | _any(flags, "missing_bbox", "edge_clipping_detected"), "ocr_review_required")
         .when((a >= 35000) & (m <= 1200) & (d <= 18.0), "ocr_overlay_candidate")
@@ -105,6 +145,37 @@ def ocr_strategy(source: Column, translated: Column, box: Column, risk: Column,
     )
 
 
+def ocr_strategy(source: Column, translated: Column, box: Column, risk: Column, flags: Column) -> Column:
+    return ocr_strategy_of(sizes(source, translated, box), risk, flags)
+
+
+def ocr_advice(x: Sizes, status: Column, risk: Column, overflow: Column, flags: Column, cut_lines: Column) -> Column:
+    """struct(recommendation, reasons) for recognised text; the first thing that stands in the way is the reason for a manual review."""
+    manual = lambda *reasons: F.struct(F.lit("manual_review").alias("recommendation"), F.array(*reasons).alias("reasons"))
+    expands = overflow > 1.25
+    side = F.array_compact(F.array(F.when(_any(flags, "dense_text_for_region"), "dense_text_for_region"), F.when(_any(flags, "long_translation"), "long_translation"), F.when(expands, "translation_expands_beyond_source_region")))
+    side = F.when(F.size(side) == 0, F.array(F.concat(F.lit("fit_risk="), risk))).otherwise(side)
+    return (
+        F.when(~F.coalesce(status == "translated", F.lit(False)), manual(F.concat(F.lit("status="), F.coalesce(status, F.lit("missing")))))
+        .when(x.translated_length == 0, manual(F.lit("empty_translation")))
+        .when(x.area <= 0, manual(F.lit("missing_bbox")))
+        .when(_any(flags, "edge_clipping_detected"), manual(F.lit("edge_clipping_detected"), F.concat(F.lit("edge_clipping_lines="), cut_lines.cast("string"))))
+        .when((risk == "low") & ~expands & (x.translated_length <= 180), F.struct(F.lit("image_overlay_candidate").alias("recommendation"), F.array(F.lit("translation_size_close_to_source"), F.lit("low_fit_risk")).alias("reasons")))
+        .otherwise(F.struct(F.lit("side_annotation_recommended").alias("recommendation"), F.array_append(side, F.lit("side_note_preserves_scanned_image")).alias("reasons")))
+    )
+
+
+def ocr_blocking(x: Sizes, status: Column, flags: Column) -> Column:
+    """All that blocks recognised text from being drawn."""
+    found = [
+        F.when(~F.coalesce(status == "translated", F.lit(False)), F.concat(F.lit("status="), F.coalesce(status, F.lit("missing")))),
+        F.when(x.translated_length == 0, "empty_translation"),
+        F.when(x.area <= 0, "missing_bbox"),
+        F.when(_any(flags, "edge_clipping_detected"), "edge_clipping_detected"),
+    ]
+    return F.array_compact(F.array(*found))
+
+
 def ocr_recommendation(translated: Column, box: Column, status: Column, risk: Column, overflow: Column, clipped: Column) -> Column:
     t = T.strip(translated)
     return (
