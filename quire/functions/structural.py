@@ -44,9 +44,8 @@ def _of(values: dict[str, str], c: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), c)
 
 
-def line(c: Column) -> Column:
-    """What one line's rule gives, or null; the first that fits decides."""
-    k = key(c)
+def _by_key(k: Column) -> Column:
+    """What the rule for a line's key gives, or null; the first that fits decides."""
     part = lambda pattern, i: F.regexp_extract(k, pattern, i)
     fits = lambda pattern: F.rlike(k, F.lit(pattern))
     unit, item = _of(UNITS, T.strip(part(WITH_UNIT, 2))), _of(INGREDIENTS, T.strip(part(WITH_UNIT, 3)))
@@ -59,10 +58,15 @@ def line(c: Column) -> Column:
     )
 
 
+def line(c: Column) -> Column:
+    """What one line's rule gives, or null."""
+    return T.let(key(c), _by_key)
+
+
 def structural(c: Column) -> Column:
     """All lines by rule, or null where one has none or there is no line."""
-    done = F.transform(T.lines(c), line)
-    return F.when((F.size(done) > 0) & ~F.exists(done, lambda x: x.isNull()), F.array_join(done, "\n"))
+    done = F.transform(F.transform(T.lines(c), key), _by_key)
+    return T.let(done, lambda d: F.when((F.size(d) > 0) & ~F.exists(d, lambda x: x.isNull()), F.array_join(d, "\n")))
 
 
 def sanitised(source: Column, translated: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """What ``then`` makes of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def collapsed(c: Column) -> Column:
     return F.regexp_replace(strip(c), r"(?U)\s+", " ")
 

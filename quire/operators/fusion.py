@@ -28,7 +28,7 @@ def tsv_lines(words: DataFrame, margin: int = 3) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", T.strip(F.col("text")).alias("t")))), lambda x: x["t"]), " ").alias("text"),
         F.min("left").alias("x0"), F.min("top").alias("y0"), F.max(right).alias("x1"), F.max(bottom).alias("y1"), F.avg(conf).alias("confidence"), F.count("*").alias("word_count"), F.min("pos").alias("first"),
     )
-    out = grouped.join(extent, "doc_id").withColumn("line_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")))
+    out = grouped.join(extent, "doc_id").withColumn("line_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("first", "page_num", "block_num", "par_num", "line_num")))
     edges = {"left": F.col("x0") <= margin, "right": (F.col("image_width") > 0) & (F.col("x1") >= F.col("image_width") - margin), "top": F.col("y0") <= margin, "bottom": (F.col("image_height") > 0) & (F.col("y1") >= F.col("image_height") - margin)}
     return out.select("doc_id", "line_index", "page_num", "block_num", "par_num", "line_num", "text", "x0", "y0", "x1", "y1", *[c.alias(f"touches_{e}_edge") for e, c in edges.items()], "confidence", "word_count")
 

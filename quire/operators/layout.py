@@ -73,10 +73,10 @@ def merge_titles(split: DataFrame) -> DataFrame:
     return out.filter(~F.col("_join")).drop("_title", "_fits", "_broken", "_at", "_join", "_parts")
 
 
-def reading_flow(candidates: DataFrame, order: str = "block_index") -> DataFrame:
-    """Adds reading_order, x_overlap and vertical_gap to the one before, the same to the one after (next_), flow and flow_flags."""
-    page = Window.partitionBy(*KEY).orderBy(order)
-    out = candidates.withColumn("reading_order", F.row_number().over(page) - 1).withColumn("_prev", F.lag("bbox").over(page)).withColumn("_n", F.count("*").over(Window.partitionBy(*KEY)))
+def reading_flow(candidates: DataFrame, order: str = "block_index", by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds reading_order, x_overlap and vertical_gap to the one before, the same to the one after (next_), flow and flow_flags; within ``by`` of a page."""
+    page = Window.partitionBy(*KEY, *by).orderBy(order)
+    out = candidates.withColumn("reading_order", F.row_number().over(page) - 1).withColumn("_prev", F.lag("bbox").over(page)).withColumn("_n", F.count("*").over(Window.partitionBy(*KEY, *by)))
     first = F.col("_prev").isNull()
     out = out.withColumn("x_overlap", F.when(~first, G.horizontal_overlap(F.col("_prev"), F.col("bbox")))).withColumn("vertical_gap", F.when(~first, G.vertical_gap(F.col("_prev"), F.col("bbox"))))
     out = out.withColumn("_next", F.lead("bbox").over(page))
@@ -238,13 +238,20 @@ def group_review_items(grouped: DataFrame) -> DataFrame:
 
 
 def overlay_ready(split: DataFrame) -> DataFrame:
-    """The counts of a page's overlay report: candidates and their lines, excluded blocks, items to review by kind, and the status with its severities."""
-    grouped = with_groups(split)
+    """The counts of a page's overlay report: candidates and their lines, excluded blocks, items to review by kind, and the status with its severities.
+
+    What reasons, review_items and readiness say row by row is counted here in one pass over a page's blocks.
+    """
+    grouped = reading_flow(with_groups(split), by=("is_candidate",))
+    zones = zone_flags(F.col("role"), F.col("vertical"), F.col("horizontal"), F.col("exclusion_reason"), F.col("group_type"))
+    rows = grouped.withColumn("_zones", zones).withColumn("_moves", F.when(F.col("is_candidate"), F.col("flow_flags")).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("_hard", F.size(F.filter(F.concat("_zones", "_moves"), lambda r: severity(r, F.col("group_type")) == "hard_review")))
     lines = T.line_count(F.coalesce("text", F.lit("")))
-    pages = grouped.groupBy(*KEY).agg(
+    pages = rows.groupBy(*KEY).agg(
         F.count_if("is_candidate").alias("candidates"), F.sum(F.when(F.col("is_candidate"), lines).otherwise(0)).alias("candidate_lines"), F.count_if(~F.col("is_candidate")).alias("excluded_blocks"),
-        F.count_distinct(F.when(F.col("group_type") != "isolated_group", F.col("group_id"))).alias("layout_group_items"), F.count_distinct(F.when(F.col("group_type").isin(COMPLEX), F.col("group_id"))).alias("complex_groups"),
+        F.count_distinct(F.when(F.col("group_type") != "isolated_group", F.col("group_id"))).alias("layout_group_items"), F.count_distinct(F.when(F.col("group_type").isin(COMPLEX), F.col("group_id"))).alias("_complex"),
+        F.sum("_hard").alias("hard_review_items"), F.sum(F.size("_zones") + F.size("_moves") - F.col("_hard")).alias("_soft"), F.count_if(F.size("_zones") > 0).alias("zone_items"), F.count_if(F.size("_moves") > 0).alias("flow_items"),
     )
-    items = review_items(grouped).groupBy(*KEY).agg(F.count_if(F.col("kind") == "zone").alias("zone_items"), F.count_if(F.col("kind") == "flow").alias("flow_items"))
-    rated = readiness(pages, reasons(grouped)).join(items, KEY, "left").fillna(0, ["zone_items", "flow_items"])
-    return rated.withColumn("review_items", F.col("zone_items") + F.col("flow_items") + F.col("complex_groups")).drop("complex_groups")
+    pages = pages.withColumn("soft_review_items", F.col("_soft") + F.col("_complex")).withColumn("review_items", F.col("zone_items") + F.col("flow_items") + F.col("_complex"))
+    status = F.when(F.col("candidates") == 0, "blocked").when(F.col("hard_review_items") > 0, "hard_review").when(F.col("soft_review_items") > 0, "soft_review").otherwise("ready")
+    return pages.withColumn("status", status).drop("_complex", "_soft")

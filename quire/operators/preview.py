@@ -22,15 +22,14 @@ _MODEL = "translated_text string, status string, translation_method string, tran
 def by_rule(text: Column, role: Column, translate: Column) -> Column:
     """struct(text, status, method) of what needs no translator, else null: what stays, titles, labels of diagrams, then outline, label and structure."""
     done = lambda t, method, status="translated": F.struct(t.alias("text"), F.lit(status).alias("status"), F.lit(method).alias("method"))
-    label, outline, lines = glossary.label(text), glossary.outline(text), structural.structural(text)
+    found = lambda t, method: T.let(t, lambda v: F.when(v.isNotNull(), done(v, method)))
+    label = glossary.label(text)
     shown = T.strip(F.coalesce(label, text))
     return (
         F.when(~F.coalesce(translate, F.lit(True)), done(text, "skipped", "skipped"))
         .when(role == "slide_title", done(glossary.title(text), "glossary"))
         .when(role == "diagram_label", F.struct(shown.alias("text"), F.when(shown != text, "translated").otherwise("skipped").alias("status"), F.when(label.isNull(), "skipped").otherwise("glossary").alias("method")))
-        .when(outline.isNotNull(), done(outline, "outline_fallback"))
-        .when(label.isNotNull(), done(label, "glossary"))
-        .when(lines.isNotNull(), done(lines, "structural_fallback"))
+        .otherwise(F.coalesce(found(glossary.outline(text), "outline_fallback"), found(label, "glossary"), found(structural.structural(text), "structural_fallback")))
     )
 
 

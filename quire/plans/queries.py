@@ -421,5 +421,5 @@ ORACLES: dict[str, str] = {
     "recognised_lines": """with w as (select l_orderkey as doc_id, l_linenumber * 1000000 + l_partkey as pos, ascii(l_returnflag) as line_num, (l_partkey % 500)::int as l, (l_suppkey % 300)::int as t, l_quantity::int as w, l_linestatus as s from lineitem),
         e as (select doc_id, max(l + w) as iw, max(t + 10) as ih from w group by 1),
         g as (select doc_id, line_num, string_agg(s, ' ' order by pos, s) as text, min(l) as x0, min(t) as y0, max(l + w) as x1, max(t + 10) as y1, count(*) as word_count, min(pos) as first from w group by 1, 2)
-        select doc_id, row_number() over (partition by doc_id order by first) as line_index, line_num, text, x0, y0, x1, y1, x0 <= 3 as touches_left_edge, iw > 0 and x1 >= iw - 3 as touches_right_edge, y0 <= 3 as touches_top_edge, ih > 0 and y1 >= ih - 3 as touches_bottom_edge, word_count from g join e using (doc_id)""",
+        select doc_id, row_number() over (partition by doc_id order by first, line_num) as line_index, line_num, text, x0, y0, x1, y1, x0 <= 3 as touches_left_edge, iw > 0 and x1 >= iw - 3 as touches_right_edge, y0 <= 3 as touches_top_edge, ih > 0 and y1 >= ih - 3 as touches_bottom_edge, word_count from g join e using (doc_id)""",
 }
