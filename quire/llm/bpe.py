@@ -7,7 +7,8 @@ scanner; a text is cut for that before single spaces between characters that are
 which the pattern never joins.
 
 Long texts take tree concatenation instead: pieces of fixed length, cut
-anywhere, are encoded by different tasks, then joined by others, level by level of a tree. A
+anywhere, are encoded on their own, then joined level by level of a tree; those of very long
+texts are encoded by different tasks and joined by others. A
 join encodes a window around the seam anew and doubles it until both sides agree on it
 (``join``). The result is that of encoding the whole text.
 """
@@ -34,10 +35,13 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 #: Below this, all versions of Unicode agree on the classes of characters.
 _SETTLED = 0x530
+_ODD = re.compile(f"[^\0-{chr(_SETTLED - 1)}]")
 #: Pre-tokens longer than this are not cached.
 _CACHED_CHARS = 64
 #: Characters of a piece; a text of more is encoded in pieces.
 PIECE_CHARS = 16_384
+#: Full pieces beyond which those of a text go to many tasks; the tree of fewer is built where the text is.
+SPREAD = 4
 
 
 def _scanner() -> re.Pattern:
@@ -154,12 +158,14 @@ class Encoder:
 
     def pre_tokens(self, text: str) -> list[str]:
         """What the tokenizer's pattern makes of ``text``, whatever its characters."""
+        if not _ODD.search(text):
+            return _SCAN.findall(text)
         found: list[str] = []
         for i, part in enumerate(_CUT.split(text)):
             part = " " + part if i else part
             if not part:
                 continue
-            if part.isascii() or ord(max(part)) < _SETTLED:
+            if not _ODD.search(part):
                 found += _SCAN.findall(part)
             else:
                 found += [part[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
@@ -192,10 +198,28 @@ class Encoder:
 
     # pieces of long texts
 
+    def runs(self, text: str) -> list[str]:
+        """What special strings divide, and at odd places these strings."""
+        return self._special.split(text) if self._special is not None else [text]
+
+    def encode_tree(self, text: str, piece_chars: int) -> bytes:
+        """The ids of ``text`` by tree concatenation of pieces."""
+        out = []
+        for i, part in enumerate(self.runs(text)):
+            if i % 2:
+                out.append(_packed([self.specials[part]]))
+            elif part:
+                out.append(join_all(self, [self.encode_piece(part[at : at + piece_chars]) for at in range(0, len(part), piece_chars)]).ids)
+        return b"".join(out)
+
     def encode_piece(self, text: str) -> Piece:
-        pres = self.pre_tokens(text)
-        packed = [self.pre_token(p) for p in pres]
-        return Piece(text, np.cumsum([0, *map(len, pres)])[:-1], np.cumsum([0, *(len(p) // 4 for p in packed)]), b"".join(packed))
+        try:
+            pres = _SCAN.findall(text)
+            packed = list(map(self._cache.__getitem__, pres))
+        except _Unsettled:
+            pres = self.pre_tokens(text)
+            packed = [self.pre_token(p) for p in pres]
+        return Piece.of(text, [len(p) for p in pres], [len(p) // 4 for p in packed], b"".join(packed))
 
 
 #: The pattern that splits a text before the merges.
@@ -214,6 +238,20 @@ class Piece:
     def __init__(self, text: str, starts: np.ndarray, before: np.ndarray, ids: bytes):
         self.text, self.starts, self.before, self.ids = text, starts, before, ids
 
+    @classmethod
+    def of(cls, text: str, lengths, counts, ids: bytes) -> Piece:
+        """From the characters and the ids of each pre-token."""
+        starts, before = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (lengths, counts))
+        return cls(text, starts[:-1], before, ids)
+
+    def lengths(self) -> np.ndarray:
+        return np.diff(self.starts, append=len(self.text))
+
+    def begins(self, at: int) -> bool:
+        """Whether a pre-token begins at this character."""
+        i = int(self.starts.searchsorted(at))
+        return i < len(self.starts) and int(self.starts[i]) == at
+
 
 def join(enc: Encoder, left: Piece, right: Piece, window: int = 64) -> Piece:
     """The encoding of ``left.text + right.text``, as if it had been encoded whole.
@@ -228,13 +266,12 @@ def join(enc: Encoder, left: Piece, right: Piece, window: int = 64) -> Piece:
     at = max(0, bisect_left(left.starts, len(left.text) - _AHEAD + 1) - 1)
     begin = int(left.starts[at])
     tail = left.text[begin:]
-    theirs = {int(x) for x in right.starts}
     while True:
         whole = window >= len(right.text)
         pres = enc.pre_tokens(tail + right.text[:window])
         end, met = 0, None
         for i, p in enumerate(pres):
-            if end >= len(tail) and end - len(tail) in theirs and (whole or end <= len(tail) + window - _AHEAD):
+            if end >= len(tail) and right.begins(end - len(tail)) and (whole or end <= len(tail) + window - _AHEAD):
                 met = i
                 break
             end += len(p)
@@ -307,8 +344,8 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids",
     """Adds the ids of each whole text as little-endian unsigned 32-bit integers in a binary column.
 
     A null text counts as empty and has no ids. A column already called ``ids`` is replaced; all others, and repeated
-    rows, stay as they are; an empty table gives an empty table. Texts of more than ``piece_chars`` characters are encoded once for
-    each distinct text, in pieces over many tasks, so that one long text doesn't hold up a partition.
+    rows, stay as they are; an empty table gives an empty table. Texts of more than ``piece_chars`` characters are encoded in pieces; of more than
+    ``SPREAD`` times as many, once for each distinct text and over many tasks, so that one long text doesn't hold up a partition.
     The tokenizer's special strings inside texts become their special ids, as is its default.
     """
     small_batches(df.sparkSession)
@@ -317,14 +354,14 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids",
     def short(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoder(tokenizer)
         for batch in texts:
-            yield pa.array([enc.encode(x or "") for x in batch.to_pylist()], pa.binary())
+            yield pa.array([enc.encode(x) if len(x) <= piece_chars else enc.encode_tree(x, piece_chars) for x in batch.to_pylist()], pa.binary())
 
     kept = [c for c in df.columns if c.lower() != ids.lower() or c == text]
     whole = df.select(*[F.col(f"`{c}`") for c in kept])
     longest = whole.agg(F.max(F.length(text_of(text)))).first()[0] or 0
-    is_long = F.coalesce(F.length(text_of(text)) > piece_chars, F.lit(False))
+    is_long = F.length(text_of(text)) > SPREAD * piece_chars
     fast = whole.filter(~is_long).withColumn(ids, short(text_of(text)))
-    if longest <= piece_chars:
+    if longest <= SPREAD * piece_chars:
         return fast
     key, got = free_name(df, "quire_key"), free_name(df, "quire_ids")
     slow = whole.filter(is_long).withColumn(key, F.sha2(text_of(text), 256))
@@ -335,7 +372,8 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids",
 
 #: Pieces that one task joins to one, at each level of the tree.
 FAN = 8
-_PIECE = "key string, run int, no int, special boolean, text string, starts binary, before binary, ids binary"
+#: A piece between tasks: of each pre-token the characters and the number of ids; the text is what the ids spell.
+_PIECE = "key string, run int, no int, lengths binary, counts binary, ids binary"
 
 
 def encode_long(df: DataFrame, tokenizer: str, longest: int, piece_chars: int = PIECE_CHARS) -> DataFrame:
@@ -344,12 +382,14 @@ def encode_long(df: DataFrame, tokenizer: str, longest: int, piece_chars: int =
     A text's runs between special strings are cut into pieces, which go to many tasks; at each level of the tree, ``FAN`` neighbours are joined by one task.
     """
 
+    names = ["key", "run", "no", "lengths", "counts", "ids"]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
             rows: list[tuple[str, int, int, bool, str]] = []
             for key, text in zip(b["key"].to_pylist(), b["text"].to_pylist()):
-                for run, part in enumerate(enc._special.split(text) if enc._special is not None else [text]):
+                for run, part in enumerate(enc.runs(text)):
                     rows += [(key, run, no, run % 2 == 1, part[at : at + piece_chars]) for no, at in enumerate(range(0, len(part), len(part) if run % 2 else piece_chars))]
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string()))], names=["key", "run", "no", "special", "text"])
@@ -357,17 +397,18 @@ def encode_long(df: DataFrame, tokenizer: str, longest: int, piece_chars: int =
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            done = [Piece(t, np.array([0]), np.array([0, 1]), _packed([enc.specials[t]])) if special else enc.encode_piece(t) for t, special in zip(b["text"].to_pylist(), b["special"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("key", "run", "no", "special", "text")), *_packed_pieces(done)], names=["key", "run", "no", "special", "text", "starts", "before", "ids"])
+            done = [Piece.of(t, [len(t)], [1], _packed([enc.specials[t]])) if special else enc.encode_piece(t) for t, special in zip(b["text"].to_pylist(), b["special"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([b["key"], b["run"], b["no"], *_columns(done)], names=names)
 
     def merge(group: pa.Table) -> pa.Table:
-        rows = group.sort_by("no").to_pylist()
-        if len(rows) > 1:
-            done = join_all(encoder(tokenizer), [Piece(r["text"], np.frombuffer(r["starts"], "<i4").astype(np.int64), np.frombuffer(r["before"], "<i4").astype(np.int64), r["ids"]) for r in rows])
-            starts, before, ids = (x[0].as_py() for x in _packed_pieces([done]))
-            rows[0] |= {"text": done.text, "starts": starts, "before": before, "ids": ids}
-        r = rows[0] | {"no": rows[0]["no"] // FAN}
-        return pa.table([pa.array([r[c]], t) for c, t in (("key", pa.string()), ("run", pa.int32()), ("no", pa.int32()), ("special", pa.bool_()), ("text", pa.string()), ("starts", pa.binary()), ("before", pa.binary()), ("ids", pa.binary()))], names=["key", "run", "no", "special", "text", "starts", "before", "ids"])
+        if len(group) > 1:
+            enc = encoder(tokenizer)
+            group = group.sort_by("no")
+            row = [Piece.of(enc.decode(ids), _unpacked(n), _unpacked(k), ids) for n, k, ids in zip(*(group[c].to_pylist() for c in names[3:]))]
+            parts = _columns([join_all(enc, row)])
+        else:
+            parts = [group[c] for c in names[3:]]
+        return pa.table([group["key"][:1], group["run"][:1], pa.array([group["no"][0].as_py() // FAN], pa.int32()), *parts], names=names)
 
     def gather(group: pa.Table) -> pa.Table:
         return pa.table({"key": group["key"][:1], "ids": pa.array([b"".join(group.sort_by("run")["ids"].to_pylist())], pa.binary())})
@@ -380,8 +421,18 @@ def encode_long(df: DataFrame, tokenizer: str, longest: int, piece_chars: int =
     return level.select("key", "run", "ids").groupBy("key").applyInArrow(gather, "key string, ids binary")
 
 
-def _packed_pieces(done: list[Piece]) -> list[pa.Array]:
-    return [pa.array(x, pa.binary()) for x in ([p.starts.astype("<i4").tobytes() for p in done], [p.before.astype("<i4").tobytes() for p in done], [p.ids for p in done])]
+def _columns(done: list[Piece]) -> list[pa.Array]:
+    return [pa.array(x, pa.binary()) for x in ([_narrow(p.lengths()) for p in done], [_narrow(np.diff(p.before)) for p in done], [p.ids for p in done])]
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """The values in the fewest bytes each that hold them all, after a byte that says how many."""
+    found = values.astype(np.min_scalar_type(int(values.max(initial=0))))
+    return bytes([found.itemsize]) + found.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
 
 
 @lru_cache(maxsize=2)
