@@ -141,7 +141,7 @@ def group_page(rows: list[dict], width: float, height: float) -> list[tuple[str,
     column = lambda i, j: _same_column(rows[i], rows[j], width)
 
     def take(kind: str, members: Iterable[int]) -> None:
-        members = sorted(set(members), key=lambda i: (rows[i]["y0"], rows[i]["x0"]))
+        members = sorted(set(members), key=lambda i: (rows[i]["y0"], rows[i]["x0"], i))  # a set has no order of its own for ties
         if members:
             groups.append((kind, members))
             free.difference_update(members)

@@ -1,5 +1,6 @@
 """The layout engine on hand-made pages, with results worked out from the rules."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from quire.functions import chunks, colors, pages
 from quire.functions import geometry as G
 from quire.functions import text as T
 from quire.operators import fit, fusion, layout, pixels, roles, routing, translate
-from quire.plans import reports
+from quire.plans import queries, reports
 
 LINES = "array<struct<text:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>,spans:array<struct<text:string,font:string,size:double,flags:int,color:int>>>>"
 BLOCKS = f"doc_id string, page_number int, width double, height double, block_index int, bbox {G.BOX}, text string, lines {LINES}"
@@ -78,6 +79,23 @@ def test_layout_groups():
     assert got == [("table_group", [10, 11]), ("step_group", [2, 3, 4]), ("ingredient_list_group", [7, 5, 6]), ("instruction_group", [8, 9]), ("heading_group", [0, 1]), ("caption_group", [12])]
 
 
+def test_blocks_at_one_place_keep_their_order():
+    page = [{"role": "content" if i else "title", "y0": 40.0 + 7 * (i % 114), "y1": 46.0 + 7 * (i % 114), "x0": 40.0, "x1": 400.0, "text": "text", "line_count": 1, "vertical": "header_zone" if i % 114 < 12 else "body_zone"} for i in range(240)]
+    kind, members = layout.group_page(page, 595.0, 842.0)[0]
+    assert (kind, members) == ("heading_group", [i + n for i in range(12) for n in (0, 114, 228)])
+
+
+def test_layout_groups_of_a_long_page_as_in_sql(spark, tmp_path):
+    text = "\n".join(["A heading of the page", *(f"ordinary words of line {'abcdefghij'[i % 10] * (i // 10 + 1)} here." for i in range(239))])
+    spark.createDataFrame([(1, text, "en", "src0", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["layout_groups"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(queries.ORACLES["layout_groups"])
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    assert got.filter("group_type = 'heading_group'").count() == 36
+
+
 def test_titles_take_what_belongs_to_them(spark):
     rows = [("d", 1, 0, (0.0, 0.0, 100.0, 10.0), "A GREAT BIG TITLE", "slide_title", True), ("d", 1, 1, (105.0, 0.0, 115.0, 10.0), "12", "page_number", False), ("d", 1, 2, (0.0, 50.0, 100.0, 60.0), "text", "content", True), ("d", 1, 3, (105.0, 0.0, 115.0, 10.0), "13", "page_number", False)]
     got = layout.merge_titles(spark.createDataFrame(rows, f"doc_id string, page_number int, block_index int, bbox {G.BOX}, text string, role string, is_candidate boolean")).orderBy("block_index").collect()
